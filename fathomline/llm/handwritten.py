@@ -147,6 +147,11 @@ def _features(counts: dict[str, dict[str, int]], bands: int, rows: int):
                 masked, spans = lexed = lex(text, lang)
                 found = names(masked)
                 cost = {n: models[lang].bits(n) for n in set(found)} if lang in models else {}
+                shown = list(masked)
+                for x in spans:
+                    if x.kind == "directive":
+                        shown[x.start : x.end] = text[x.start : x.end]
+                masked = "".join(shown)
                 code = [line.strip() for line in masked.split("\n") if line.strip()]
                 comments = sum(s.end - s.start for s in spans if s.kind == "comment")
                 prose = sum(s.end - s.start for s in spans if s.kind == "string" and text[s.start : s.end].lstrip("rRbBuUfF")[:3] in ('"""', "'''"))
