@@ -123,6 +123,10 @@ def glob_regex(pattern: str) -> str:
     return out
 
 
+def _any_matches(parts: Column, pattern: str) -> Column:
+    return F.exists(parts, lambda p: F.rlike(p, F.lit(pattern)))
+
+
 def ignored(path: Column, rules: list[str], noise: tuple[str, ...] = NOISE) -> Column:
     """Whether a path lies in a hidden or noise folder or matches a rule: a name, a glob, or a path from the root."""
     parts = F.split(path, "/")
@@ -134,7 +138,7 @@ def ignored(path: Column, rules: list[str], noise: tuple[str, ...] = NOISE) -> C
         if "/" in body or rule.startswith("/"):
             test = test | path.rlike(f"^{glob_regex(body)}(?:/.*)?$")
         elif re.search(r"[*?\[]", body):
-            test = test | F.exists(parts, lambda p, r=f"^{glob_regex(body)}$": F.rlike(p, F.lit(r)))
+            test = test | _any_matches(parts, f"^{glob_regex(body)}$")
         else:
             test = test | F.array_contains(parts, body)
     return test
