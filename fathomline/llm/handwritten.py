@@ -14,11 +14,12 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.code import Span, functions, language, lex, normalise
@@ -134,7 +135,7 @@ def minhash(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
     return [xxhash.xxh64_intdigest(bytes([i]) + low[i * rows : (i + 1) * rows].tobytes()) - 2**63 for i in range(bands)]
 
 
-FEATURES = "path string, lang string, bits double, names int, length double, lines int, shapes double, declared double, literal double, notice boolean, package boolean, shingles array<long>, bands array<long>"
+FEATURES = "path string, lang string, bits double, names int, length double, lines int, shapes double, declared double, literal double, notice boolean, package boolean, copy long, bands array<long>"
 
 
 def _features(counts: dict[str, dict[str, int]], bands: int, rows: int):
@@ -163,12 +164,34 @@ def _features(counts: dict[str, dict[str, int]], bands: int, rows: int):
                 kinds = [diversity(x) for x in (declared_names, assigned) if len(x) >= 6]
                 top = top_comment(text, spans)
                 hashes = shingles(bare_code(text, spans))
+                copy = xxhash.xxh64_intdigest(hashes.tobytes()) - 2**63
                 out.append((
                     path, lang, float(np.mean([cost[n] for n in found])) if found and cost else 0.0, len(found), float(np.mean([len(n) for n in found])) if found else 0.0,
                     len(code), diversity(code), min(kinds, default=1.0), min(1.0, held / max(1, size)), bool(GENERATED.search(top)),
-                    bool(PACKAGES.search(path) or UPSTREAM.search(top)), hashes, minhash(hashes, bands, rows) if len(hashes) else [],
+                    bool(PACKAGES.search(path) or UPSTREAM.search(top)), copy if len(hashes) else None, minhash(hashes, bands, rows) if len(hashes) else [],
                 ))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")]).astype({"copy": "Int64"})
+
+    return run
+
+
+def _similar(similarity: float):
+    """Of pairs (copy, seed) with both files' texts, those whose comment-free code is similar enough."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @lru_cache(256)
+        def own(path: str, declared: str | None, text: str) -> np.ndarray:
+            text = normalise(text)
+            return shingles(bare_code(text, lex(text, language(path, declared))[1]))
+
+        for b in batches:
+            good = []
+            for copy, pa, da, a, pb, db, t in b[["copy", "path", "declared", "text", "seed_path", "seed_declared", "seed_text"]].itertuples(index=False):
+                x, y = own(pa, da, a), own(pb, db, t)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if common >= similarity * (len(x) + len(y) - common):
+                    good.append(copy)
+            yield pd.DataFrame({"copy": np.array(good, np.int64)})
 
     return run
 
@@ -202,25 +225,30 @@ def not_handwritten(
     features = stash(files.mapInPandas(_features(dict(counts), bands, rows), FEATURES), "code-features")
     usual = features.where("names >= 8").groupBy("lang").agg(F.percentile_approx("bits", 0.5).alias("usual"))
     judged = features.join(usual, "lang", "left").select(
-        "path", "package", "shingles", "bands",
+        "path", "package", "copy",
         (F.col("notice") | ((F.col("lines") >= template_lines) & (F.col("shapes") <= template)) | (F.col("declared") <= template_names)).alias("generated"),
         ((F.col("bits") > F.col("usual") + excess_bits) & (F.col("length") <= mangled_length) & (F.col("names") >= 8)).alias("minified"),
         ((F.col("literal") >= data_share) | ((F.col("lines") >= template_lines) & (F.col("shapes") <= template) & (F.col("literal") >= data_share / 3))).alias("data"),
     )
 
-    # copies of third-party files: exact ones by their shingles, similar ones by minhash bands and the exact similarity
-    code = features.where(F.size("shingles") > 0).select("path", "package", "shingles", "bands", F.xxhash64("shingles").alias("copy"))
-    groups = stash(code.groupBy("copy").agg(F.max("package").alias("package"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")), "code-copies")
-    seeds = groups.where("package").select(F.explode("bands").alias("band"), F.col("copy").alias("seed"), F.col("shingles").alias("s"))
-    others = groups.where("not package").select(F.explode("bands").alias("band"), "copy", "shingles")
-    common = F.size(F.array_intersect("shingles", "s"))
-    near = common >= similarity * (F.size("shingles") + F.size("s") - common)
-    # first against four seeds of a bucket, which settles nearly all; what is left against every seed of its buckets
-    few = seeds.withColumn("rn", F.row_number().over(Window.partitionBy("band").orderBy("seed"))).where("rn <= 4").drop("rn")
-    settled = stash(others.join(few, "band").where(near).select("copy").distinct(), "code-near")
-    rest = others.join(settled, "copy", "left_anti").join(seeds, "band").where(near).select("copy").distinct()
-    copies = settled.unionByName(rest).unionByName(groups.where("package").select("copy")).distinct()
-    third = code.join(copies, "copy", "left_semi").select("path", F.lit(True).alias("third_party"))
+    # copies of third-party files: exact ones share their shingles' hash and are one group; similar groups are met in
+    # minhash bands, where only ids travel, and their files are read again for the exact similarity
+    code = features.where("copy is not null").groupBy("copy").agg(F.max("package").alias("package"), F.min("path").alias("path"), F.first("bands").alias("bands"))
+    groups = stash(code, "code-copies")
+    seeds = groups.where("package").select(F.explode("bands").alias("band"), F.col("copy").alias("seed"))
+    others = groups.where("not package").select(F.explode("bands").alias("band"), "copy")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        texts = groups.select("copy", "path").join(files, "path")
+        left = pairs.join(texts, "copy")
+        right = texts.select(F.col("copy").alias("seed"), F.col("path").alias("seed_path"), F.col("declared").alias("seed_declared"), F.col("text").alias("seed_text"))
+        return stash(left.join(right, "seed").mapInPandas(_similar(similarity), "copy long").distinct(), name)
+
+    # first against one seed of each bucket, which settles nearly all; what is left against every seed of its buckets
+    first = others.join(seeds.groupBy("band").agg(F.min("seed").alias("seed")), "band").select("copy", "seed").distinct()
+    settled = confirmed(first, "code-near")
+    rest = others.join(settled, "copy", "left_anti").join(seeds, "band").select("copy", "seed").distinct()
+    copies = settled.unionByName(confirmed(rest, "code-rest")).unionByName(groups.where("package").select("copy")).distinct().withColumn("third_party", F.lit(True))
     reason = [F.when(F.col(r), F.lit(r)) for r in ("generated", "minified", "third_party", "data")]
-    out = judged.join(third, "path", "left").withColumn("third_party", F.coalesce("third_party", F.lit(False)) | F.col("package"))
+    out = judged.join(copies, "copy", "left").withColumn("third_party", F.coalesce("third_party", F.lit(False)) | F.col("package"))
     return out.select("path", F.array_compact(F.array(*reason)).alias("reasons")).where(F.size("reasons") > 0)
