@@ -14,24 +14,35 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.langid import COMMON, FENCE
 from fathomline.session import stash
 
-STOPS = {lang: frozenset(words.split()) for lang, words in COMMON.items()}
+TONGUES = sorted(COMMON)
+# each common word's languages, as places in TONGUES
+USUAL: dict[str, tuple[int, ...]] = {}
+for _i, _lang in enumerate(TONGUES):
+    for _word in COMMON[_lang].split():
+        USUAL[_word] = (*USUAL.get(_word, ()), _i)
 END = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+(?=\S)|\n[ \t]*\n|\n(?=[ \t]*(?:#{1,6} |[-*+>] |\d+[.)] |\^|!\[|\|))")
 WORD = re.compile(r"[^\W\d_]+")
 LINE = re.compile(r"^[ \t]*(?:#{1,6}[ \t].*|\^[\w-]+[ \t]*|!\[.*|\|.*|---+[ \t]*)$", re.M)
 
 
-def spoken(words: list[str]) -> str:
-    """The language most of whose commonest words a sentence has; empty where two have as many."""
-    hits = sorted(((sum(w in stop for w in words), lang) for lang, stop in STOPS.items()), key=lambda x: (-x[0], x[1]))
-    return hits[0][1][:2] if hits[0][0] > hits[1][0] else ""
+def spoken(words: list[str]) -> int:
+    """The language, by its place, most of whose commonest words a sentence has; -1 where two have as many."""
+    hits = [0] * len(TONGUES)
+    for w in words:
+        for i in USUAL.get(w, ()):
+            hits[i] += 1
+    most = max(hits)
+    return hits.index(most) if hits.count(most) == 1 else -1
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -46,21 +57,27 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
-def doc_terms(text: str | None) -> tuple[int, dict[str, list[int]]]:
+def doc_terms(text: str | None) -> tuple[int, dict[int, list[int]]]:
     """Number of sentences, and the sentences each term occurs in. A term is a word in a language, so that words that
-    two languages share stay apart."""
-    found: dict[str, list[int]] = {}
+    two languages share stay apart; it is the word's 60-bit hash with the language's place in the four lowest bits."""
+    found: dict[int, list[int]] = {}
     parts = sentences(text)
     langs = [spoken(p) for p in parts]
-    usual = max({*langs} - {""}, key=lambda x: (langs.count(x), x), default="")
+    usual = max({*langs} - {-1}, key=lambda x: (langs.count(x), x), default=15)
     for i, (words, lang) in enumerate(zip(parts, langs, strict=True)):
+        tongue = lang if lang >= 0 else usual
         for w in set(words):
             if len(w) > 1:
-                found.setdefault(f"{lang or usual}:{w}", []).append(i)
+                found.setdefault((hashed(w) & ~15) | tongue, []).append(i)
     return len(parts), found
 
 
-GRAPH = "doc_id long, sentences int, terms array<struct<term: string, at: array<int>>>"
+@lru_cache(200_000)
+def hashed(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) - 2**63
+
+
+GRAPH = "doc_id long, sentences int, terms array<long>, at array<array<int>>"
 
 
 def _graph(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,8 +85,8 @@ def _graph(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for key, text in zip(batch["doc_id"], batch["text"], strict=True):
             n, found = doc_terms(text)
-            rows.append((key, n, [{"term": t, "at": at} for t, at in found.items()]))
-        yield pd.DataFrame(rows, columns=["doc_id", "sentences", "terms"])
+            rows.append((key, n, list(found), list(found.values())))
+        yield pd.DataFrame(rows, columns=["doc_id", "sentences", "terms", "at"])
 
 
 def _verified(sums: DataFrame, k: int, agree: float, clear: float, least: float) -> DataFrame:
@@ -79,7 +96,7 @@ def _verified(sums: DataFrame, k: int, agree: float, clear: float, least: float)
     what is known at first differs between languages. A term's subject must also be three standard deviations more
     frequent with it than in its language, so that a common subject needs more documents.
     """
-    tongue = F.substring_index("term", ":", 1)
+    tongue = F.col("term").bitwiseAND(F.lit(15))
     usual = sums.groupBy(tongue.alias("tongue")).agg(*[F.sum(f"w{i}").alias(f"u{i}") for i in range(k)])  # a row a language
     whole = sum((F.col(f"u{i}") for i in range(1, k)), F.col("u0"))
     usual = usual.select("tongue", *[((F.col(f"u{i}") / whole + 0.02) / (1 + 0.02 * k)).alias(f"p{i}") for i in range(k)])
@@ -147,19 +164,19 @@ def subject_areas(
     docs = documents.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
     graph = stash(docs.mapInPandas(_graph, GRAPH).where("sentences > 0"), "subject-graph")
     given = labels.select("doc_id", index[F.lower(F.trim("subject"))].alias("s")).where("doc_id is not null and s is not null").distinct()
-    seeds = stash(given.groupBy("doc_id").agg(*[F.max((F.col("s") == i).cast("double")).alias(f"g{i}") for i in range(k)]), "subject-seeds")
+    seeds = stash(given.groupBy("doc_id").agg(F.collect_set("s").alias("given")), "subject-seeds")
 
-    def total(prefix: str) -> Column:
-        return sum((F.col(f"{prefix}{i}") for i in range(1, k)), F.col(f"{prefix}0"))
+    def summed(votes: DataFrame) -> DataFrame:
+        """(term, w0...): votes (term, s, w), few rows a document, in a column a subject."""
+        return votes.groupBy("term").agg(*[F.sum(F.when(F.col("s") == i, F.col("w")).otherwise(0.0)).alias(f"w{i}") for i in range(k)])
 
-    sums = (
-        graph.join(seeds, "doc_id").select(F.explode("terms.term").alias("term"), *[(F.col(f"g{i}") / total("g")).alias(f"w{i}") for i in range(k)])
-        .groupBy("term").agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(k)])
-    )
+    # each document's labels as one list, joined to its terms as one list, so that the graph is shuffled a row a document
+    first = graph.join(seeds, "doc_id").select("terms", F.explode("given").alias("s"), (F.lit(1.0) / F.size("given")).alias("w"))
+    sums = summed(first.select(F.explode("terms").alias("term"), "s", "w"))
     found = empty
     for turn in range(rounds):
         terms = stash(_verified(sums, k, agree, clear, least), "subject-terms").select("term", "own", "shares")
-        edges = graph.select("doc_id", "sentences", F.explode("terms").alias("e")).select("doc_id", "sentences", F.col("e.term").alias("term"), F.col("e.at").alias("at"))
+        edges = graph.select("doc_id", "sentences", F.explode(F.arrays_zip("terms", "at")).alias("e")).select("doc_id", "sentences", F.col("e.terms").alias("term"), F.col("e.at").alias("at"))
         held = edges.join(terms, "term").groupBy("doc_id").agg(F.first("sentences").alias("sentences"), F.collect_list(F.struct("term", "own", "at", "shares")).alias("terms"))
         last = turn == rounds - 1
 
@@ -177,16 +194,33 @@ def subject_areas(
         if last:
             found = held.mapInPandas(score, "doc_id long, subject string, sentences int, of int")
             break
-        scored = stash(held.mapInPandas(score, "doc_id long, s array<double>, own array<struct<term: string, own: int, n: double>>"), "subject-scores")
-        # clamp: a given label that the document's evidence doesn't contradict counts as two sentences more
-        full = graph.select("doc_id", F.col("terms.term").alias("all")).join(scored, "doc_id", "left").join(seeds, "doc_id", "left")
-        seen = F.coalesce("s", F.array(*[F.lit(0.0)] * k))
-        dumb = F.forall(seen, lambda x: x == 0)
-        full = full.select("doc_id", "all", "own", *[(seen[i] + F.when((F.col(f"g{i}") > 0) & ((seen[i] > 0) | dumb), 2.0).otherwise(0.0)).alias(f"s{i}") for i in range(k)]).where(total("s") > 0)
-        full = stash(full, "subject-labels")
-        mine = F.map_from_entries(F.transform(F.coalesce("own", F.array().cast("array<struct<term: string, own: int, n: double>>")), lambda x: F.struct(x["term"], F.struct(x["own"], x["n"]))))
-        each = full.withColumn("mine", mine).select(F.explode("all").alias("term"), "mine", *[f"s{i}" for i in range(k)]).withColumn("m", F.col("mine")[F.col("term")])
-        less = [F.greatest(F.lit(0.0), F.col(f"s{i}") - F.when(F.col("m.own") == i, F.col("m.n")).otherwise(0.0)).alias(f"r{i}") for i in range(k)]
-        each = each.select("term", *less).where(total("r") > 0)
-        sums = each.select("term", *[(F.col(f"r{i}") / total("r")).alias(f"w{i}") for i in range(k)]).groupBy("term").agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(k)])
+        scored = held.mapInPandas(score, "doc_id long, s array<double>, own array<struct<term: long, own: int, n: double>>")
+
+        def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Each document's shares of its subjects (term null), and how much less of them each of its own terms sees."""
+            for b in batches:
+                rows = []
+                for key, s, own, labels_ in zip(b["doc_id"], b["s"], b["own"], b["given"], strict=True):
+                    s = list(s) if s is not None else [0.0] * k
+                    # clamp: a given label that the document's evidence doesn't contradict counts as two sentences more
+                    if labels_ is not None:
+                        blank = not any(s)
+                        s = [x + 2.0 * (i in labels_ and (x > 0 or blank)) for i, x in enumerate(s)]
+                    whole = sum(s)
+                    if not whole:
+                        continue
+                    full = [x / whole for x in s]
+                    own_terms = own if own is not None else []
+                    rows += [(key, None, i, w) for i, w in enumerate(full) if w]
+                    for t in own_terms:
+                        rest = list(s)
+                        rest[t["own"]] = max(0.0, rest[t["own"]] - t["n"])
+                        left = sum(rest)
+                        rows += [(key, t["term"], i, (rest[i] / left if left else 0.0) - w) for i, w in enumerate(full) if w]
+                yield pd.DataFrame(rows, columns=["doc_id", "term", "s", "w"]).astype({"term": "Int64"})
+
+        judged = stash(scored.join(seeds, "doc_id", "full_outer").mapInPandas(votes, "doc_id long, term long, s int, w double"), "subject-votes")
+        labelled = judged.where("term is null").groupBy("doc_id").agg(F.collect_list(F.struct("s", "w")).alias("v"))
+        spread = graph.select("doc_id", "terms").join(labelled, "doc_id").select("terms", F.explode("v").alias("v")).select(F.explode("terms").alias("term"), "v.s", "v.w")
+        sums = summed(spread.unionByName(judged.where("term is not null").select("term", "s", "w")))
     return found
