@@ -65,6 +65,7 @@ REGION = re.compile(
     """,
     re.X | re.S | re.M | re.I,
 )
+MORE_INDENTED = re.compile(r"(?:\n(?:[ \t]*\n)*(?:[ ]{4}|[ ]{0,3}\t)[ \t]*\S[^\n]*)*")
 HTML_HEADING = re.compile(rf"<h([1-6])\b{ATTRS}>(.*?)(?=</h[1-6]\s*>|<h[1-6]\b|\Z)", re.S | re.I)
 HTML_ITEM = re.compile(rf"<li\b{ATTRS}>(.*?)(?=</?li\b|</?[uo]l\b|<(?:p|div|table|h[1-6]|pre)\b|\Z|\n[ \t]*\n)", re.S | re.I)
 TEX_HEADING = re.compile(r"\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?[ \t]*(?:\[[^\]\n]*\])?[ \t]*\{")
@@ -185,6 +186,20 @@ def _blank(text: str) -> str:
     return re.sub(r"[^\n]", " ", text)
 
 
+def _line_before(text: str, start: int) -> str | None:
+    """The last line with text before the blank line right above `start`; empty at the text's start, None if that line
+    isn't blank."""
+    end, above = start - 1, 0
+    while end >= 0:
+        begin = text.rfind("\n", 0, end) + 1
+        line = text[begin:end]
+        if line.strip():
+            return line if above else None
+        above += 1
+        end = begin - 1
+    return ""
+
+
 def scan(text: str) -> tuple[list[Element], str, str]:
     """Code blocks and formulas of text, text with everything opaque blanked, and text with only inline code blanked too."""
     found: list[Element] = []
@@ -195,16 +210,14 @@ def scan(text: str) -> tuple[list[Element], str, str]:
         start, end = m.start(), m.end()
         inline = False
         if m["indent"] is not None:
-            lines_before = text[:start].rstrip("\n \t") if text[:start].endswith("\n\n") or re.search(r"\n[ \t]*\n\Z", text[:start][-200:]) or start == 0 else None
-            last = lines_before.rpartition("\n")[2] if lines_before is not None else ""
-            if lines_before is None or not m["indent"].strip() or ITEM.match(last) or "\\item" in last:
+            last = _line_before(text, start)
+            if last is None or not m["indent"].strip() or ITEM.match(last) or "\\item" in last:
                 out.append(text[at : start + 1])
                 seen.append(text[at : start + 1])
                 at = start + 1
                 # the rest of the line is looked at again, but never as an indented block
                 continue
-            more = re.compile(r"(?:\n(?:[ \t]*\n)*(?:[ ]{4}|[ ]{0,3}\t)[ \t]*\S[^\n]*)*").match(text, end)
-            end = more.end()
+            end = MORE_INDENTED.match(text, end).end()
             found.append(Element("code_block", 0, start, end, first_line(text[start:end])))
         elif m["fence"] is not None:
             mark = m["mark"]

@@ -83,7 +83,7 @@ def mixture(documents: DataFrame, source_weights: DataFrame, *, total: float | N
     columns are ignored; letter case and outer spaces of sources mean nothing. Null and empty texts, null ids, and
     records of sources that are null, not listed or have no positive target are left out. A repeated doc_id is one
     record. A listed source without records gets nothing and the others share its target; a null max_repeats is 1, of
-    a source listed twice the first in order counts. A source falls short of its share by less than one record.
+    a source listed twice the first in order counts. A source misses its share by at most half a record.
     """
     name = F.lower(F.trim("source"))
     rows = source_weights.where("source is not null and target_weight > 0").groupBy(name.alias("source"))
@@ -104,8 +104,8 @@ def mixture(documents: DataFrame, source_weights: DataFrame, *, total: float | N
     inside = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     run = sized.withColumn("inside", inside).join(starts, ["source", "block"]).join(wanted, "source").withColumn("end", F.col("before") + F.col("inside"))
     passes = F.floor(F.col("budget") / F.col("whole") + 1e-9)
-    part = F.col("budget") - passes * F.col("whole")
-    uses = (passes + F.when(F.col("end") <= part + 1e-6, 1).otherwise(0)).cast("int")
+    part = F.greatest(F.lit(0.0), F.col("budget") - passes * F.col("whole"))
+    uses = (passes + F.when(F.col("end") - F.col("tokens") / 2 <= part, 1).otherwise(0)).cast("int")
     run = run.withColumn("uses", uses).where("uses > 0")
     out = run.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("use_no"), "tokens", "end", "whole", "budget")
     return out.select("doc_id", "source", "use_no", "tokens", (((F.col("use_no") - 1) * F.col("whole") + F.col("end") - F.col("tokens")) / F.col("budget")).alias("place"))

@@ -110,7 +110,9 @@ def _verified(sums: DataFrame, k: int, agree: float, clear: float, least: float)
     at = F.array_position("shares", top).cast("int")
     strong = F.filter(F.arrays_zip("shares", "z"), lambda x: (x["shares"] >= clear) & (x["z"] >= 2))
     mass = F.aggregate(strong, F.lit(0.0), lambda a, x: a + x["shares"])
-    out = out.where(F.element_at("z", at) >= 3).withColumn("own", F.when(top >= agree, at - 1))
+    # in many documents, one subject more frequent than usual and no other is as good as a clear share
+    alone = (F.size(F.filter("z", lambda z: z >= 2)) == 1) & (top >= agree * 5 / 6) & (F.element_at("z", at) >= 5) & (F.col("n") >= 8 * least)
+    out = out.where(F.element_at("z", at) >= 3).withColumn("own", F.when((top >= agree) | alone, at - 1))
     return out.where(F.col("own").isNotNull() | (F.size(strong).between(2, 3) & (mass >= 0.7) & (F.col("n") >= 4 * least)))
 
 
