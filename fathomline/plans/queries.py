@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.text import STOP_WORDS, in_folder, line_at, stem_of, version
 from fathomline.operators import codegraph, convert, dense, evaluate, files, history, index, links, prose, reading, search
-from fathomline.session import latest, prepare, table
+from fathomline.session import latest, prepare, spread, table
 from fathomline.streaming import refresh
 
 QUESTION = "open question glossary compiler photosynthesis zebra"
@@ -22,7 +22,7 @@ CUT_SECONDS = 1767225600
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """documents as a corpus: the key is the id, the name the stem of the path."""
     d = table(prepare(spark), folder, "documents")
-    return d.select(F.col("doc_id").alias("key"), stem_of(F.col("path")).alias("name"), "text", "mtime", "path")
+    return spread(d.select(F.col("doc_id").alias("key"), stem_of(F.col("path")).alias("name"), "text", "mtime", "path"))
 
 
 def notes(spark: SparkSession, folder: str) -> DataFrame:

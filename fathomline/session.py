@@ -23,6 +23,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -71,6 +72,13 @@ def latest(df: DataFrame, key: str, *columns: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(newest.alias("_r")).select(key, "_r.*")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: one small file is otherwise one task, whatever it costs a
+    byte. A table with more partitions than cores is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lines_normalised(text: Column) -> Column:
     """Every line end made a single newline."""
     return F.regexp_replace(text, "\r\n?", "\n")
