@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import stem_of
@@ -97,3 +97,13 @@ def refreshed(vectors: DataFrame, units: DataFrame, embedder: Callable[[list[str
     stamps = units.select("key", "mtime").distinct()
     kept = vectors.join(stamps, ["key", "mtime"], "left_semi")
     return kept.unionByName(embed(units.join(vectors.select("key", "mtime").distinct(), ["key", "mtime"], "left_anti"), embedder))
+
+
+def save(vectors: DataFrame, folder: str, *, model: str, prefix: str = "") -> None:
+    """Write vectors with the model and prefix that made them; one Parquet commit, so a reader sees all or none."""
+    vectors.withColumn("model", F.lit(model)).withColumn("prefix", F.lit(prefix)).write.mode("overwrite").parquet(folder)
+
+
+def load(spark: SparkSession, folder: str, *, model: str, prefix: str = "") -> DataFrame:
+    """(key, off, mtime, codes, scale) made by this model and prefix; the filter reaches the scan."""
+    return spark.read.parquet(folder).where((F.col("model") == model) & (F.col("prefix") == prefix)).drop("model", "prefix")

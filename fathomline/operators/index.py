@@ -66,7 +66,10 @@ def _meta(spark: SparkSession, folder: str) -> dict:
         if "PATH_NOT_FOUND" in str(error) or "does not exist" in str(error):
             return {}
         raise
-    meta = json.loads(rows[0][0]) if rows else {}
+    try:
+        meta = json.loads(rows[0][0]) if rows else {}
+    except ValueError:  # a broken pointer: as if there were no index, a rebuild writes a new one
+        meta = {}
     return meta if meta.get("tokenizer") == TOKENIZER else {}
 
 
@@ -154,5 +157,10 @@ def section_terms(found: DataFrame, profile: str = "full") -> DataFrame:
     return each.groupBy("key", "off", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def keys_with(built: Index, term: str) -> DataFrame:
+    """The documents that hold a term."""
+    return built.postings.where(F.col("term") == term).select("key")
+
+
 def ranked(df: DataFrame, by: list, partition: list[str] | None = None, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*(partition or [])).orderBy(*by)))

@@ -223,3 +223,27 @@ def callouts(notes: DataFrame) -> DataFrame:
     """(path, callout): types of blockquote callouts, in order of the text."""
     quoted = F.regexp_extract_all("text", F.lit(r"(?md)(?:^|(?<=\n)(?![ \t]*>))[ ]{0,3}>[ \t]*\[!([A-Za-z]+)\]"), F.lit(1))
     return notes.select("path", F.posexplode(quoted).alias("n", "callout"))
+
+
+def asset_backlinks(resolved: DataFrame) -> DataFrame:
+    """(asset, notes): who embeds or links each file, by path."""
+    return resolved.where("asset is not null").groupBy("asset").agg(F.sort_array(F.collect_set("src")).alias("notes"))
+
+
+def document_links(notes: DataFrame) -> DataFrame:
+    """(note, document): paths a note's front matter lists under documents. They are repository paths and never merged
+    with the assets of the vault."""
+    from fathomline.operators.prose import document_paths
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, d) for p, t in zip(b["path"], b["text"], strict=True) for d in document_paths(t)]
+            yield pd.DataFrame(rows, columns=["note", "document"])
+
+    listed = notes.where(F.startswith("text", F.lit("---")) & F.contains("text", F.lit("documents"))).select("path", "text")
+    return listed.mapInPandas(run, "note string, document string")
+
+
+def documented_by(document_links_: DataFrame, path: str) -> DataFrame:
+    """Notes whose documents list names a path or ends with it."""
+    return document_links_.where((F.col("document") == path) | F.endswith("document", F.lit("/" + path.lstrip("/")))).select("note").distinct()

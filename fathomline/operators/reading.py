@@ -103,3 +103,36 @@ def find_heading_offset(text: Column, concept: str) -> Column:
     """Position, from 1, of the first heading of level 1 to 4 that holds the concept as whole words; 0 if none does."""
     start, end = (r"\b" if re.match(r"\w", concept) else ""), (r"\b" if re.search(r"\w$", concept) else "")
     return F.regexp_instr(text, F.lit(rf"(?imd)^(#{{1,4}})\s+.*{start}{re.escape(concept)}{end}.*$"))
+
+
+def concept_sections(df: DataFrame, concept: str) -> DataFrame:
+    """(key, section) of (key, text): from the first heading that holds the concept to the next of its level or above."""
+    text = F.regexp_replace("text", "\r\n?", "\n")
+    at = find_heading_offset(F.col("text"), concept)
+    found = df.select("key", text.alias("text")).withColumn("at", at).where("at > 0").select("key", F.expr("substring(text, at)").alias("rest"))
+    level = F.length(F.regexp_extract("rest", r"\A(#+)", 1))
+    cut = F.when(level == 1, F.regexp_extract("rest", r"(?sd)\A([^\n]*(?:\n(?!#{1,1}\s)[^\n]*)*)", 1))
+    for n in (2, 3, 4):
+        cut = cut.when(level == n, F.regexp_extract("rest", rf"(?sd)\A([^\n]*(?:\n(?!#{{1,{n}}}\s)[^\n]*)*)", 1))
+    return found.select("key", F.trim(cut).alias("section"))
+
+
+def section_images(df: DataFrame, concept: str) -> DataFrame:
+    """(key, image): embeds of the section about a concept, each file name once, in order."""
+    found = concept_sections(df, concept)
+    embeds = F.regexp_extract_all("section", F.lit(r"!\[\[([^\]|]+?\.[A-Za-z0-9]+)(?:\|[^\]]*)?\]\]|!\[[^\]]*\]\(([^)\s]+)[^)]*\)"), F.lit(0))
+    names = F.transform(embeds, lambda e: F.regexp_extract(F.regexp_replace(e, r"^!\[\[|(?:\|[^\]]*)?\]\]$|^!\[[^\]]*\]\(|[)\s].*$", ""), r"([^/]*)$", 1))
+    return found.select("key", F.posexplode(F.array_distinct(names)).alias("n", "image")).select("key", "image")
+
+
+def served(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """(path, served, reason): what a request for a path gets: the note itself, the note extracted beside a document, or
+    why nothing. files has path; asked path."""
+    have = files.select("path").distinct()
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    notes = have.where(F.lower("path").endswith(".md")).select(stem.alias("stem"), F.col("path").alias("note"))
+    want = asked.select("path").distinct().withColumn("stem", stem).join(have.withColumn("there", F.lit(True)), "path", "left").join(notes, "stem", "left")
+    text = F.lower("path").rlike(r"\.(?:md|txt|rst|csv|json|ya?ml|toml|xml|html)$|(?:^|/)[^./]+$")
+    out = F.when(F.col("there").isNull(), F.lit(None)).when(text, F.col("path")).otherwise(F.col("note"))
+    reason = F.when(F.col("there").isNull(), "not_found").when(~text & F.col("note").isNull(), "unconverted")
+    return want.select("path", out.alias("served"), reason.alias("reason"))

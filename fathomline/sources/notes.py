@@ -28,6 +28,7 @@ class Changed(ValueError):
 class Notes:
     spark: SparkSession
     folder: str
+    within: str = ""  # writes go under this folder only
 
     def rows(self) -> DataFrame:
         try:
@@ -65,6 +66,8 @@ class Notes:
     def write(self, path: str, text: str, *, expect_version: str | None = None, create_only: bool = False, properties: dict | None = None) -> str:
         """Write a note and return its version; Changed if it isn't at expect_version, or is there and mustn't be."""
         path = contained(path)
+        if self.within and not path.startswith(self.within.strip("/") + "/"):
+            raise ValueError(f"{path} is not under {self.within}")
         if expect_version is not None or create_only:
             have = self.one(path)
             if create_only and have:

@@ -166,3 +166,26 @@ def test_drift(spark):
     log = spark.createDataFrame([("c1", 10, "src/a.py"), ("c2", 20, "src/b.py"), ("c2", 20, "lib/x.py"), ("c3", 30, "hub.py"), ("c0", 15, "docs/r1.md")], "sha string, at long, path string")
     records = spark.createDataFrame([("docs/r1.md", "src", 0.0), ("docs/r1.md", "hub.py", 0.0), ("docs/r2.md", "hub.py", 5.0), ("docs/r3.md", "hub.py", 5.0), ("docs/r2.md", "lib/x.py", 5.0)], "record string, path string, mtime double")
     assert {r["record"]: r["commits"] for r in history.drift(log, records).collect()} == {"docs/r1.md": 1, "docs/r2.md": 1}
+
+
+def test_concept_sections_and_served(spark):
+    df = spark.createDataFrame([("k", "# A\nx\n## Cats and dogs\n![[i/a.png|3]] ![](b/c.jpg) ![[i/a.png]]\n### deep\ny\n## Next\nz")], "key string, text string")
+    assert reading.concept_sections(df, "dogs").first()["section"].startswith("## Cats") and "Next" not in reading.concept_sections(df, "dogs").first()["section"]
+    assert reading.concept_sections(df, "dog").count() == 0
+    assert [r["image"] for r in reading.section_images(df, "cats").collect()] == ["a.png", "c.jpg"]
+    have = spark.createDataFrame([("a.md",), ("b.pdf",), ("b.md",), ("c.pdf",)], "path string")
+    asked = spark.createDataFrame([("a.md",), ("b.pdf",), ("c.pdf",), ("d.md",)], "path string")
+    assert {r["path"]: (r["served"], r["reason"]) for r in reading.served(have, asked).collect()} == {"a.md": ("a.md", None), "b.pdf": ("b.md", None), "c.pdf": (None, "unconverted"), "d.md": (None, "not_found")}
+    assert convert.relinked("![x](img/a.png) ![](no.png)", {"a.png": "n-a.png"}) == "![[n-a.png]] ![](no.png)"
+
+
+def test_write_boundary_and_vectors(spark, tmp_path):
+    from fathomline.operators import dense
+
+    n = Notes(spark, str(tmp_path / "n"), within="Inbox")
+    with pytest.raises(ValueError):
+        n.write("other/a.md", "x")
+    assert n.write("Inbox/a.md", "x", properties={"tags": ["t"]}) and n.one("Inbox/a.md")[0] == "---\ntags:\n- t\n---\n\nx"
+    v = spark.createDataFrame([("a", 0, 1.0, [1, 2], 0.5)], "key string, off int, mtime double, codes array<tinyint>, scale float")
+    dense.save(v, str(tmp_path / "v"), model="m1")
+    assert dense.load(spark, str(tmp_path / "v"), model="m1").count() == 1 and dense.load(spark, str(tmp_path / "v"), model="m2").count() == 0
