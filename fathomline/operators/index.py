@@ -13,7 +13,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import PROFILES, line_at, section_title, sections
@@ -162,5 +162,20 @@ def keys_with(built: Index, term: str) -> DataFrame:
     return built.postings.where(F.col("term") == term).select("key")
 
 
-def ranked(df: DataFrame, by: list, partition: list[str] | None = None, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*(partition or [])).orderBy(*by)))
+def global_rank(df: DataFrame, by: list, name: str = "rank") -> DataFrame:
+    """df with its rank, from 1, in a total order, without bringing the rows together.
+
+    The rows are sorted by range over all partitions and kept; each partition's count (a number a partition comes to the
+    driver) gives where the next one's ranks start.
+    """
+    ordered = df.orderBy(*by).withColumn("_m", F.monotonically_increasing_id()).cache()
+    part = F.shiftright("_m", 33)
+    counts = sorted((r[0], r[1]) for r in ordered.groupBy(part.alias("p")).count().collect())
+    starts, total = [], 0
+    for p, n in counts:
+        starts += [F.lit(p), F.lit(total)]
+        total += n
+    if not starts:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    start = F.create_map(*starts)[part]
+    return ordered.withColumn(name, (F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + start + 1).cast("long")).drop("_m")

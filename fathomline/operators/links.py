@@ -99,36 +99,54 @@ def suffixes(paths: DataFrame) -> DataFrame:
     return paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("tail"))
 
 
+def _best(tails: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the paths of each key the one with fewest steps, then the lower."""
+    order = F.struct(F.size(F.split("path", "/")), F.lower("path"), F.col("path"))
+    return tails.groupBy(*keys).agg(F.min_by("path", order).alias("path"))
+
+
+def _above(path: Column) -> Column:
+    """The folders a path lies in, from the top."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), i), "/")).otherwise(""))
+
+
 def resolve(links: DataFrame, notes: DataFrame) -> DataFrame:
     """links with `dst`, null where nothing matches. A target with a slash matches a whole path, else the end of one; a
-    name the file's stem, ADR-0001 a stem 0001-*. Of several: the source's folder, then fewest steps, then the lower path."""
+    name the file's stem, ADR-0001 a stem 0001-*. Of several: the source's folder, then fewest steps, then the lower path.
+
+    The best note is chosen for each name, and for each name and folder, before the links are joined, so that a name
+    that many notes have and many links use costs one row a link.
+    """
     unique = notes.select("path").distinct()
     asked = links.select("src", "target").distinct().withColumn("goal", _joined(F.col("target"), F.col("src")))
     own = asked.where(F.col("target").rlike(r"^[#^]")).select("src", "target", F.col("src").alias("dst"))
     goal = F.lower(F.regexp_replace(F.regexp_replace("goal", r"\.md$", ""), "^/+", ""))
-    rest = asked.where(F.col("goal").isNotNull() & ~F.col("target").rlike(r"^[#^]")).withColumn("want", F.concat(goal, F.lit(".md")))
-    number = F.regexp_extract("goal", r"^ADR-(\d{4})(?:\.md)?$", 1)
+    rest = asked.where(F.col("goal").isNotNull() & ~F.col("target").rlike(r"^[#^]"))
+    rest = rest.select("src", "target", F.concat(goal, F.lit(".md")).alias("want"), _folder(F.col("src")).alias("folder"), F.regexp_extract("goal", r"^ADR-(\d{4})(?:\.md)?$", 1).alias("no"))
     tails = suffixes(unique.where(F.lower("path").endswith(".md")))
-    plain = rest.join(tails, F.col("want") == F.col("tail")).select("src", "target", "path", (F.lower("path") == F.col("want")).cast("int").alias("exact"), F.lit(0).alias("late"))
-    stems = unique.withColumn("no", F.regexp_extract("path", r"(?:^|/)(\d{4})-[^/]*\.md$", 1)).where("no <> ''")
-    adr = rest.withColumn("no", number).where("no <> ''").join(stems, "no").select("src", "target", "path", F.lit(0).alias("exact"), F.when(F.concat(F.lit("/"), F.lower("path")).contains("/adr/"), 1).otherwise(2).alias("late"))
-    found = plain.unionByName(adr)
-    here = F.when((_folder(F.col("src")) != "") & F.startswith("path", F.concat(_folder(F.col("src")), F.lit("/"))), 0).otherwise(1)
-    steps = F.size(F.split("path", "/"))
-    slashed = F.contains("target", F.lit("/")).cast("int") * F.col("exact")
-    order = Window.partitionBy("src", "target").orderBy(F.col("late"), F.desc(slashed), F.when(F.col("late") > 0, 0).otherwise(here), steps, F.lower("path"), "path")
-    best = found.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("src", "target", F.col("path").alias("dst"))
-    return links.join(best.unionByName(own), ["src", "target"], "left")
+    exact = _best(unique.withColumn("want", F.lower("path")), ["want"]).withColumnRenamed("path", "exact")
+    here = _best(tails.withColumn("folder", F.explode(_above(F.col("path")))).where("folder <> ''"), ["tail", "folder"]).select(F.col("tail").alias("want"), "folder", F.col("path").alias("here"))
+    anywhere = _best(tails, ["tail"]).select(F.col("tail").alias("want"), F.col("path").alias("anywhere"))
+    numbered = unique.withColumn("no", F.regexp_extract("path", r"(?:^|/)(\d{4})-[^/]*\.md$", 1)).where("no <> ''")
+    order = F.struct(F.when(F.concat(F.lit("/"), F.lower("path")).contains("/adr/"), 0).otherwise(1), F.size(F.split("path", "/")), F.lower("path"))
+    records = numbered.groupBy("no").agg(F.min_by("path", order).alias("record"))
+    both = rest.join(exact, "want", "left").join(here, ["want", "folder"], "left").join(anywhere, "want", "left").join(records, "no", "left")
+    dst = F.coalesce(F.when(F.contains("target", F.lit("/")), F.col("exact")), "here", "anywhere", "record")
+    return links.join(both.select("src", "target", dst.alias("dst")).unionByName(own), ["src", "target"], "left")
 
 
 def resolve_assets(refs: DataFrame, assets: DataFrame) -> DataFrame:
-    """refs with `asset`: a whole path, else the end of one, else a file's name; of several as for notes."""
-    asked = refs.select("src", "target").distinct().withColumn("want", F.lower(F.regexp_replace(F.trim(_joined(F.col("target"), F.col("src"))), "^/+", "")))
-    found = asked.join(suffixes(assets.select("path").distinct()), F.col("want") == F.col("tail"))
-    same = F.when(~F.contains("want", F.lit("/")) & (_folder(F.col("src")) == _folder(F.col("path"))) & (_folder(F.col("src")) != ""), 0).otherwise(1)
-    order = Window.partitionBy("src", "target").orderBy(F.when(F.lower("path") == F.col("want"), 0).otherwise(1), same, F.size(F.split("path", "/")), F.lower("path"))
-    best = found.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("src", "target", F.col("path").alias("asset"))
-    return refs.join(best, ["src", "target"], "left")
+    """refs with `asset`: a whole path, else the end of one, else a file's name; of several as for notes, the source's own
+    folder only where the target is a name."""
+    asked = refs.select("src", "target").distinct().select("src", "target", F.lower(F.regexp_replace(F.trim(_joined(F.col("target"), F.col("src"))), "^/+", "")).alias("want"), _folder(F.col("src")).alias("folder"))
+    unique = assets.select("path").distinct()
+    tails = suffixes(unique)
+    exact = _best(unique.withColumn("want", F.lower("path")), ["want"]).withColumnRenamed("path", "exact")
+    here = _best(tails.where(~F.contains("tail", F.lit("/"))).withColumn("folder", _folder(F.col("path"))).where("folder <> ''"), ["tail", "folder"]).select(F.col("tail").alias("want"), "folder", F.col("path").alias("here"))
+    anywhere = _best(tails, ["tail"]).select(F.col("tail").alias("want"), F.col("path").alias("anywhere"))
+    both = asked.join(exact, "want", "left").join(here, ["want", "folder"], "left").join(anywhere, "want", "left")
+    return refs.join(both.select("src", "target", F.coalesce("exact", "here", "anywhere").alias("asset")), ["src", "target"], "left")
 
 
 def edges(resolved: DataFrame) -> DataFrame:

@@ -54,10 +54,13 @@ def headings(df: DataFrame) -> DataFrame:
 
 
 def with_ends(found: DataFrame) -> DataFrame:
-    """Headings with `end_off`: where the next heading of the same or a higher level starts; null at the last."""
-    later = found.select(F.col("key").alias("k"), F.col("level").alias("l"), F.col("off").alias("o"))
-    near = found.join(later, (F.col("k") == F.col("key")) & (F.col("o") > F.col("off")) & (F.col("l") <= F.col("level")), "left")
-    return near.groupBy("key", "level", "title", "line", "off").agg(F.min("o").alias("end_off"))
+    """Headings with `end_off`: where the next heading of the same or a higher level starts; null at the last.
+
+    One sorted pass a text: for each level the next heading at most that deep, then the heading's own level's.
+    """
+    later = Window.partitionBy("key").orderBy("off").rowsBetween(1, Window.unboundedFollowing)
+    ends = [F.first(F.when(F.col("level") <= n, F.col("off")), ignorenulls=True).over(later) for n in range(1, 7)]
+    return found.withColumn("end_off", F.element_at(F.array(*ends), F.col("level")))
 
 
 def section_by_title(df: DataFrame, title: str) -> DataFrame:

@@ -127,13 +127,13 @@ def unseen_count(spark, folder):
 def query_groups_rrf(spark, folder):
     own = words_index(spark, folder)
     lists = [search.bm25(own, search.query_terms(spark, q, "words")) for q in (QUESTION, SECOND)]
-    ranks = [x.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "key"))) for x in lists]
+    ranks = [index.global_rank(x, [F.desc(F.round("score", 9)), "key"]) for x in lists]
     return search.rrf(ranks, ["key"]).select("key", F.round("fused", 9).alias("fused"))
 
 
 def rrf_hybrid(spark, folder):
-    lexical = _ranked(spark, folder)[3].withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "key")))
-    vectors = _cosines(spark, folder).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("cos", 9)), "key")))
+    lexical = index.global_rank(_ranked(spark, folder)[3], [F.desc(F.round("score", 9)), "key"])
+    vectors = index.global_rank(_cosines(spark, folder), [F.desc(F.round("cos", 9)), "key"])
     return search.rrf([lexical, vectors], ["key"]).select("key", F.round("fused", 9).alias("fused"))
 
 
