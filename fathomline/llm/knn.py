@@ -6,6 +6,10 @@ bucket and, in each table, into the `probes` perturbed buckets that are likelies
 are sorted by their distance to the bucket's borders and perturbation sets are taken in the order of their expected
 squared distance. Candidates of all tables are merged, thinned by the Hamming distance of 256 random signs (set so
 that one pair in ten thousand at the lowest cosine is lost), and their cosine is then computed exactly.
+
+A crowded bucket holds too many vectors to list its pairs. It is compared in full all the same: its vectors and those
+that look into it are dealt into blocks by a salt, and each pair of blocks is one matrix product, of which the k most
+similar of every vector, on either side, are kept.
 """
 
 from __future__ import annotations
@@ -125,6 +129,83 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array(cos)], names=["a", "b", "cos"])
 
 
+def nearest(x: np.ndarray, x_ids: np.ndarray, y: np.ndarray, y_ids: np.ndarray, k: int, least: float, rows: int = 512, columns: int = 4096) -> tuple[np.ndarray, ...]:
+    """(id of x, id of y, cosine): for each row of x its k most similar rows of y with another id, ties to the smaller id.
+
+    Products of whole numbers below 2^24 are exact in single precision, so only wide vectors need double. A tile's
+    approximate cosines choose what may be among the k; the cosine that decides is the one of _cosines().
+    """
+    kind = np.float32 if x.shape[1] * 2**14 <= 2**24 else np.float64
+    xx, yy = ((m.astype(np.float64) ** 2).sum(1) for m in (x, y))
+    x, y, scale = x.astype(kind), y.astype(kind), (1 / np.sqrt(yy)).astype(kind)
+    slack, out = 1e-5, []
+    for top in range(0, len(x), rows):
+        own, own_ids, own_xx = x[top : top + rows], x_ids[top : top + rows], xx[top : top + rows]
+        length, floor = np.sqrt(own_xx).astype(kind)[:, None], np.full(len(own), least)
+        r, c, cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for left in range(0, len(y), columns):
+            dots = own @ y[left : left + columns].T
+            near = dots * scale[left : left + columns] / length
+            hit = near >= (floor - slack)[:, None]
+            many = np.flatnonzero(hit.sum(1) > 4 * (k + 1))
+            if len(many):  # the row itself may be one of the k + 1
+                floor[many] = np.maximum(floor[many], np.partition(near[many], -(k + 1), axis=1)[:, -(k + 1)] - slack)
+                hit[many] = near[many] >= (floor[many] - slack)[:, None]
+            i, j = np.nonzero(hit)
+            exact = dots[i, j].astype(np.float64) / np.sqrt(own_xx[i] * yy[left + j])
+            good = (exact >= least) & (own_ids[i] != y_ids[left + j])
+            r, c, cos = np.concatenate([r, i[good]]), np.concatenate([c, left + j[good]]), np.concatenate([cos, exact[good]])
+            order = np.lexsort((y_ids[c], -cos, r))
+            r, c, cos = r[order], c[order], cos[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            r, c, cos, place = (m[place < k] for m in (r, c, cos, place))
+            last = place == k - 1
+            floor[r[last]] = np.maximum(floor[r[last]], cos[last])
+        out.append((own_ids[r], y_ids[c], cos))
+    return tuple(np.concatenate(m) for m in zip(*out, strict=True))
+
+
+def _blocks(k: int, least: float):
+    def run(held: pa.Table, asking: pa.Table) -> pa.Table:
+        """One block of a bucket's vectors against one of those that look into it; those of the bucket look into it too."""
+        parts = []
+        if held.num_rows and asking.num_rows:
+            dim = held["dim"][0].as_py()
+            x, y = (matrix(t["codes"].combine_chunks(), dim) for t in (asking, held))
+            x_ids, y_ids, other = asking["cid"].to_numpy(), held["cid"].to_numpy(), ~asking["own"].to_numpy()
+            parts.append(nearest(x, x_ids, y, y_ids, k, least))
+            if other.any():
+                parts.append(nearest(y, y_ids, x[other], x_ids[other], k, least))
+        x, y, cos = (np.concatenate(m) for m in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"x": x, "y": y, "cos": cos})
+
+    return run
+
+
+def crowded_pairs(base: DataFrame, probe: DataFrame, crowded: DataFrame, reps: DataFrame, k: int, least: float, block: int) -> DataFrame:
+    """(a, b, cos), a < b: the pairs of crowded buckets in which one is among the k most similar of the other there.
+
+    base (key, cid) are the vectors of each bucket, probe (key, cid) those that look into it, its own among them.
+    """
+    held = base.join(F.broadcast(crowded), "key", "left_semi").select("key", "cid", F.lit(True).alias("own"))
+    asking = probe.join(F.broadcast(crowded), "key", "left_semi").select("key", "cid", F.lit(False).alias("own"))
+    looks = stash(held.unionByName(asking).groupBy("key", "cid").agg(F.max("own").alias("own")), "knn-looks")
+    parts = looks.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("n_asking"), F.ceil(F.count_if("own") / block).cast("int").alias("n_held"))
+    full = looks.join(F.broadcast(parts), "key").join(reps.select("cid", "dim", "codes"), "cid")
+    salt = F.xxhash64("cid", F.lit("block"))
+
+    def side(mine: str, others: str, one: str, other: str, rows: DataFrame) -> DataFrame:
+        same = (F.col(c).alias(c) for c in ("key", "dim", "cid", "codes", "own"))  # new columns, or the two sides are ambiguous
+        return rows.select(*same, F.pmod(salt, F.col(mine)).cast("int").alias(one), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other))
+
+    at = ("key", "dim", "i", "j")
+    left, right = side("n_held", "n_asking", "j", "i", full.where("own")), side("n_asking", "n_held", "i", "j", full)
+    best = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_blocks(k, least), "x long, y long, cos double").distinct()
+    order = Window.partitionBy("x").orderBy(F.desc("cos"), F.asc("y"))
+    best = best.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cos")
+
+
 def collision(distance: np.ndarray, width: float) -> np.ndarray:
     """Chance that one coordinate of two vectors at this distance is equal."""
     c = np.maximum(distance, 1e-9) / width
@@ -167,7 +248,7 @@ def similar_pairs(
     width: float = 2.0,
     budget: float = 1500.0,
     bucket: int = 4096,
-    levels: int = 4,
+    block: int = 16384,
     sample: int = 2000,
     seed: int = 11,
 ) -> DataFrame:
@@ -178,9 +259,8 @@ def similar_pairs(
     no pairs. Ties in similarity go to the smaller id. Rows with identical codes are one class: its first k+1 ids
     stand for it, so that n copies give at most k*n pairs.
 
-    Buckets with more than `bucket` vectors are not compared as they are: their vectors are hashed again at half the
-    width, up to `levels` times, where only the nearest still meet; what exceeds the bound at the last level is
-    compared in full. Only pairs of at least min_cosine come out.
+    The pairs of a bucket with more than `bucket` vectors are not listed: blocks of up to `block` of its vectors are
+    compared in full with blocks of those that look into it. Only pairs of at least min_cosine come out.
     """
     one = F.max_by(F.struct("dim", "codes"), F.struct("mtime", "codes"))
     rows = (
@@ -200,38 +280,28 @@ def similar_pairs(
     # 256 signs differ in a share acos(c)/pi of places; four standard deviations above that share
     share = math.acos(min_cosine) / math.pi
     most = math.ceil(SIGNS * share + 4 * math.sqrt(SIGNS * share * (1 - share)))
-    active, parts = reps, []
-    for level in range(levels):
-        w = width / 2**level
-        fields = "cid long, keys array<long>, s0 long, s1 long, s2 long, s3 long"
-        source = active.select("cid", "dim", "codes")
-        base, probe = (
-            source.mapInArrow(_hashed(size, w, tables, probes, seed + level, probing), fields).select(F.explode("keys").alias("key"), "cid", "s0", "s1", "s2", "s3")
-            for probing in (False, True)
-        )
-        crowded = None
-        if level < levels - 1:
-            crowded = stash(base.groupBy("key").count().where(F.col("count") > bucket).select("key"), "knn-crowded")
-            if crowded.isEmpty():
-                crowded = None
-        if crowded is not None:
-            again = base.join(crowded, "key", "left_semi").select("cid").distinct()
-            active = stash(active.join(again, "cid", "left_semi"), "knn-again")
-            base = base.join(crowded, "key", "left_anti")
-        b, p = base.alias("b"), probe.alias("p")
-        apart = sum((F.bit_count(F.col(f"b.s{i}").bitwiseXOR(F.col(f"p.s{i}"))) for i in range(1, 4)), F.bit_count(F.col("b.s0").bitwiseXOR(F.col("p.s0"))))
-        near = b.join(p, (F.col("b.key") == F.col("p.key")) & (F.col("b.cid") != F.col("p.cid")) & (apart <= most))
-        parts.append(near.select(F.least("b.cid", "p.cid").alias("a"), F.greatest("b.cid", "p.cid").alias("b")))
-        if crowded is None:
-            break
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    found = found.distinct()
+    fields = "cid long, keys array<long>, s0 long, s1 long, s2 long, s3 long"
+    source = reps.select("cid", "dim", "codes")
+    base, probe = (
+        source.mapInArrow(_hashed(size, width, tables, probes, seed, probing), fields).select(F.explode("keys").alias("key"), "cid", "s0", "s1", "s2", "s3")
+        for probing in (False, True)
+    )
+    crowded = stash(base.groupBy("key").count().where(F.col("count") > bucket).select("key"), "knn-crowded")
+    dense = None
+    if not crowded.isEmpty():
+        dense = crowded_pairs(base, probe, crowded, reps, k, min_cosine, block)
+        base = base.join(F.broadcast(crowded), "key", "left_anti")
+    b, p = base.alias("b"), probe.alias("p")
+    apart = sum((F.bit_count(F.col(f"b.s{i}").bitwiseXOR(F.col(f"p.s{i}"))) for i in range(1, 4)), F.bit_count(F.col("b.s0").bitwiseXOR(F.col("p.s0"))))
+    near = b.join(p, (F.col("b.key") == F.col("p.key")) & (F.col("b.cid") != F.col("p.cid")) & (apart <= most))
+    found = near.select(F.least("b.cid", "p.cid").alias("a"), F.greatest("b.cid", "p.cid").alias("b")).distinct()
     left = reps.select(F.col("cid").alias("a"), "dim", F.col("codes").alias("codes_a"))
     right = reps.select(F.col("cid").alias("b"), F.col("dim").alias("dim_b"), F.col("codes").alias("codes_b"))
     pairs = found.join(left, "a").join(right, "b").where("dim = dim_b").select("a", "b", "dim", "codes_a", "codes_b")
-    pairs = stash(pairs.mapInArrow(_cosines, "a long, b long, cos double").where(F.col("cos") >= min_cosine), "knn-pairs")
+    pairs = pairs.mapInArrow(_cosines, "a long, b long, cos double").where(F.col("cos") >= min_cosine)
+    if dense is not None:
+        pairs = pairs.unionByName(dense).groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    pairs = stash(pairs, "knn-pairs")
 
     # the first k+1 ids of each class with copies; the group limit runs before the shuffle
     member = rows.join(reps.where("m > 1").select("c1", "c2", "cid"), ["c1", "c2"]).select("cid", "id")

@@ -63,6 +63,29 @@ def test_crowded_buckets_are_hashed_finer(spark):
     assert len(finer & truth) >= 0.5 * len(truth)
 
 
+def test_dense_group_is_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(knn, "coordinates", lambda *a: 14)  # as with many more rows
+    rng = np.random.default_rng(8)
+    base, rows = rng.normal(size=128), []
+    for i in range(1500):
+        v = base + rng.normal(size=128) * 0.2 if i < 1000 else rng.normal(size=128)
+        rows.append((i, 128, [int(c) for c in np.rint(v / np.abs(v).max() * 127)]))
+    df = spark.createDataFrame([(*r, 1.0) for r in rows], "row_id long, dim int, codes array<tinyint>, mtime double")
+    truth = brute(rows)
+    got = {(r["row_id_a"], r["row_id_b"]) for r in knn.similar_pairs(df, bucket=100, block=300).collect()}
+    assert len(got & truth) >= 0.99 * len(truth)
+
+
+def test_nearest_in_tiles():
+    rng = np.random.default_rng(9)
+    x = rng.integers(-3, 4, (300, 5)).astype(np.float32)
+    x[:, 0] = 4
+    ids = rng.permutation(300)
+    want = brute([(int(i), 5, v) for i, v in zip(ids, x, strict=True)], 4, 0.8)
+    got = knn.nearest(x, ids, x, ids, 4, 0.8, 64, 50)
+    assert {(min(a, b), max(a, b)) for a, b in zip(*(m.tolist() for m in got[:2]), strict=True)} == want
+
+
 def test_perturbations():
     sets = knn.perturbations(4, 12)
     assert sets[0] == (1,) and len(set(sets)) == 12 and all(9 - j not in s for s in sets for j in s)
