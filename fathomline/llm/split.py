@@ -3,7 +3,8 @@
 An item is a run of units (characters, lines or tokens). The offsets at which it may be cut are a sorted array, each
 with a rank: the higher, the more natural. A piece ends at the last boundary of the best rank under the limit, found
 by binary search, if that leaves it at least half full, else at a lower rank's, and, where there is no boundary at
-all, hard at the limit. The next piece starts a step of `overlap` back, moved on to the next boundary within that step.
+all, hard at the limit. The next piece starts a step of `overlap` back, wherever that is: ends are natural places, starts
+need not be, for the step up to the next boundary would cost overlap.
 """
 
 from __future__ import annotations
@@ -22,33 +23,27 @@ from fathomline.session import latest
 
 
 def cut(size: int, boundaries: list[list[int]], limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Pieces [start, end) of an item of `size` units, each at most `limit` long; consecutive ones share up to `overlap`.
+    """Pieces [start, end) of an item of `size` units, each at most `limit` long; consecutive ones share `overlap`.
 
     boundaries holds a sorted list of offsets for each rank, the best first. The pieces cover the item, and each
     starts after the one before it. A limit below 1 counts as 1, an overlap of limit or more as limit - 1.
     """
     limit = max(1, limit)
     overlap = max(0, min(overlap, limit - 1))
-    pieces, start, covered = [], 0, 0
+    pieces, start = [], 0
     while size - start > limit:
         top, end = start + limit, 0
         for least in (limit // 2, 1):
             for rank in boundaries:
                 i = bisect_right(rank, top) - 1
-                if i >= 0 and rank[i] >= max(start + least, covered + 1):
+                if i >= 0 and rank[i] >= start + max(least, overlap + 1):
                     end = rank[i]
                     break
             if end:
                 break
         end = end or top
         pieces.append((start, end))
-        covered, back = end, max(end - overlap, start + 1)
-        for rank in boundaries:
-            i = bisect_left(rank, back)
-            if i < len(rank) and rank[i] < end:
-                back = rank[i]
-                break
-        start = back if overlap else end
+        start = end - overlap
     pieces.append((start, size))
     return pieces
 

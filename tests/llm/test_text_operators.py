@@ -149,6 +149,18 @@ def test_cut_prefers_boundaries():
     assert split.cut_weighted([3, 3, 3, 3], [[2]], 6, 0) == [(0, 2), (2, 4)] and split.cut_weighted([9], [[]], 3, 1) == [(0, 1)]
 
 
+@given(st.integers(0, 300), st.lists(st.integers(0, 300), max_size=20), st.integers(1, 60), st.integers(0, 70))
+def test_cut_keeps_the_overlap(size, marks, limit, overlap):
+    ranks = [sorted(set(marks[::2])), sorted(set(marks[1::2]))]
+    assert all(b - c == min(overlap, limit - 1) for (_, b), (c, _) in itertools.pairwise(split.cut(size, ranks, limit, overlap)))
+
+
+def test_overlap_beside_a_paragraph():
+    text = "One word follows another. " * 3 + "End.\n\n" + "The next paragraph goes on and on. " * 3
+    (_, end), (start, _) = split.cut(len(text), split.text_boundaries(text), 100, 30)[:2]
+    assert end == text.index("The next") and start == end - 30
+
+
 def test_oversized(spark):
     body = "pre\n# A\n" + "word " * 100 + "\n## B\nshort\n"
     notes = spark.createDataFrame([(1, "n.md", body, 2.0), (1, "n.md", "# X\n" + "y" * 900, 1.0), (2, "e.md", None, 1.0)], "note_id long, path string, content string, mtime double")
