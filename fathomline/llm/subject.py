@@ -6,7 +6,8 @@ the documents. No pair of documents is ever written out, and a term in a third o
 map-side sum. A link is verified before it carries a label: a term passes one on only if the labels of its other
 documents (the document's own evidence from that term left out) agree on one subject. Terms whose documents agree on
 two or three subjects are ambiguous; they strengthen a subject that others show, and start none. Trusted seeds, the
-given labels that the document's other evidence doesn't contradict, are clamped in every round.
+given labels that the document's other evidence doesn't contradict, are clamped in every round that votes. The last one
+only gives out what each document's own evidence says: a given label alone is no row.
 """
 
 from __future__ import annotations
