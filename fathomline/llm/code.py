@@ -184,7 +184,69 @@ CONTAINER = re.compile(r"\b(?:class|interface|enum|struct|union|namespace|module
 WORDS = re.compile(r"^\s*(?:@[\w.]+(?:\s*\((?:[^()]|\([^()]*\))*\))?\s*)*")
 
 
-def _brace_functions(text: str, masked: str) -> list[Function]:
+LOCAL = re.compile(
+    r"^[ \t]*(?:(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function\b\s*\*?\s*([\w$]+)\s*(?:<[^()]*>\s*)?\((?:[^()]|\([^()]*\))*\)"
+    r"|(?:export[ \t]+)?(?:const|let|var)\s+([\w$]+)\s*(?::[^=;{}]*)?=\s*(?:async\s*)?(?:<[^()]*>\s*)?(?:\((?:[^()]|\([^()]*\))*\)|[\w$]+)\s*(?::[^={};]*)?=>)",
+    re.M,
+)
+PURE = re.compile(r"=\s*(?:0|default|delete)\s*$")
+
+
+def _bodiless(head: str, lang: str, inside: bool) -> re.Match | None:
+    """The name in a declaration that ends in ';': a prototype, or an interface's or abstract method.
+
+    Outside a class it needs a type before its name (in JavaScript and TypeScript, `function`), or it is a call.
+    """
+    head = PURE.sub("", head)
+    found = CALLABLE.search(head)
+    if not found or found[1] in NO_FUNCTION or "=" in (before := head[: found.start(1)]) or re.search(r"\b(?:return|new|throw|case|typedef|using|delete|await|else|goto)\b", before):
+        return None
+    script = lang in ("javascript", "typescript")
+    typed = re.search(r"\bfunction\b", before) if script else re.search(r"\w[\s*&>\]]*(?:[\w$]+::)*\s*$", before)
+    first = re.match(r"\s*(?:<[^()<>]*>)?\s*\(\s*([^\s)]?)", head[found.end(1) :])
+    return found if (inside or typed) and not (first and re.match(r"[\d\"'-]", first[1])) else None
+
+
+def _expression_end(masked: str, at: int) -> int:
+    """Offset of the last character of the arrow function's expression that begins at `at`."""
+    depth, i = 0, at
+    while i < len(masked):
+        c = masked[i]
+        depth += (c in "([{") - (c in ")]}")
+        if depth < 0 or not depth and c in ";,":
+            return i if c == ";" else i - 1
+        if c == "\n" and not depth and masked[at:i].strip() and not re.match(r"\s*[.?:&|+*/=<>,)-]", masked[i:]) and not re.search(r"[.?:&|+*/=<>-]\s*$", masked[at:i]):
+            return i - 1
+        i += 1
+    return len(masked) - 1
+
+
+def declarations(text: str, lang: str, lexed: tuple[str, list[Span]] | None = None) -> list[Function]:
+    """As functions(), with those that have no body (prototypes, interface and abstract methods that end in ';'), and in
+    JavaScript and TypeScript named functions within functions and call arguments and arrows to an expression."""
+    masked, spans = lexed or lex(text, lang)
+    if lang == "python":
+        return functions(text, lang, (masked, spans))
+    out, lines = _brace_functions(text, masked, lang), Lines(text)
+    if lang in ("javascript", "typescript"):
+        known = {(f.name, f.line) for f in out}
+        ends = {(f.name, f.end_line): i for i, f in enumerate(out)}
+        for m in LOCAL.finditer(masked):
+            start = m.end() - len(m[0].lstrip())
+            name, line = m[1] or m[2], lines.of(start)
+            if (name, line) not in known:
+                arrow = m[2] and not re.match(r"\s*\{", masked[m.end() :])
+                end = lines.of(_expression_end(masked, m.end())) if arrow else last_line(text, lang, line, (masked, spans))
+                mine, i = Function(name, line, line, end, text[start : m.end()].strip(), None), ends.get((name, end))
+                if i is None:
+                    out.append(mine)
+                elif re.search(r"[^\s\w]", masked[lines.starts[out[i].line - 1] : start]):
+                    out[i] = mine  # a statement without ';' stood before it
+    return sorted(out, key=lambda f: f.line)
+
+
+def _brace_functions(text: str, masked: str, bodiless: str = "") -> list[Function]:
+    """Those with a body; with a language in `bodiless`, also declarations that end in ';'."""
     lines, out = Lines(text), []
     stack: list[tuple[bool, int]] = []  # may declare functions; index in out, or -1
     begin, round_ = 0, 0
@@ -221,6 +283,11 @@ def _brace_functions(text: str, masked: str) -> list[Function]:
                     out[mine] = out[mine]._replace(end_line=lines.of(m.start()))
             begin = m.end()
         elif c == ";":
+            head = masked[begin : m.start()]
+            if bodiless and all(s[0] for s in stack) and (found := _bodiless(head, bodiless, bool(stack))):
+                start = begin + len(head) - len(head.lstrip())
+                declared = start + WORDS.match(masked[start : m.start()]).end()
+                out.append(Function(found[1], lines.of(start), lines.of(declared), lines.of(m.start()), text[declared : m.start()].strip(), None))
             begin = m.end()
     end = len(lines.starts)
     return [f if f.end_line else f._replace(end_line=end) for f in out]

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.code import comment_blocks, functions, language, lex, normalise
+from fathomline.llm.code import comment_blocks, declarations, language, lex, normalise
 from fathomline.session import latest
 
 # Words that carry no statement in documentation; phrases that are placeholders, licences or directives.
@@ -99,7 +99,7 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lines = text.split("\n")
             for first, last, body in comment_blocks(text, lexed[1], lang):
                 out.append((path, "comment", first, last, None, None, body, None, None))
-            for f in functions(text, lang, lexed):
+            for f in declarations(text, lang, lexed):
                 out.append((path, "function", f.line, f.line, f.name, f.header, None, f.end_line, "\n".join(lines[f.line - 1 : f.end_line])))
                 if f.doc is not None:
                     out.append((path, "docstring", f.line, f.line, None, None, f.doc, None, None))
@@ -112,7 +112,7 @@ def documented_functions(sources: DataFrame, *, least: int = 2) -> DataFrame:
     sources has path, text and mtime; other columns are ignored. A repeated path is one file (the latest row). Null and
     empty texts and null paths give nothing, an empty table no rows; files in unknown languages are read as brace
     languages; a file that doesn't parse gives what can be told apart. `line` is the declaration's first line with its
-    decorators or annotations. Of a docstring and a comment above, the docstring is taken if it says something.
+    decorators or annotations. Prototypes, interface and abstract methods count where they end in ';'. Of a docstring and a comment above, the docstring is taken if it says something.
     """
     spans = latest(sources, "path", "text").mapInPandas(_spans, SPANS)
     # as-of join: the last comment that ends above the function; one that ends there and is not adjacent is rejected

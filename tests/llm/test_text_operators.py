@@ -217,6 +217,17 @@ def dead(): pass
 '''
 
 
+def test_declarations_without_a_body():
+    def names(text, lang):
+        return [(f.name, f.line, f.end_line) for f in code.declarations(text, lang)]
+
+    js = "const half = x => x / 2;\nconst twice = (x) =>\n  x * 2\nfunction outer() {\n  function inner(a) {\n    return a;\n  }\n  run(inner(1));\n}\nsuite(() => {\n  const low = (a) => { go(a); };\n});\nrun(outer());\n"
+    assert names(js, "javascript") == [("half", 1, 1), ("twice", 2, 3), ("outer", 4, 9), ("inner", 5, 7), ("low", 11, 11)]
+    assert names("interface A {\n  int size();\n  int full = size(3);\n}\nabstract class B {\n  abstract void go(int a);\n  void at() { go(1); }\n}\n", "java") == [("size", 2, 2), ("go", 6, 6), ("at", 7, 7)]
+    assert names("int add(int a, int b);\nstatic int n = add(1, 2);\nSETUP(n);\nint main(void) {\n  add(1, 2);\n}\n", "c") == [("add", 1, 1), ("main", 4, 6)]
+    assert names("interface A {\n  of(a: string): number;\n}\nfunction f(a: string): void;\nstart(1);\n", "typescript") == [("of", 2, 2), ("f", 4, 4)]
+
+
 def test_functions():
     assert [(f.name, f.line, f.end_line) for f in code.functions(JS, "javascript")] == [("sortRows", 5, 5), ("x", 9, 9), ("cutOff", 12, 13), ("constructor", 15, 15)]
     assert [(f.name, f.line, f.end_line) for f in code.functions(PY, "python")] == [("load_cache", 3, 10), ("move", 13, 13), ("plain", 15, 16), ("dead", 20, 20)]
