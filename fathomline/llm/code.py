@@ -81,9 +81,21 @@ def _depths(masked: str) -> list[int]:
     return out
 
 
-def python_end(masked: str, text: str, line: int) -> int:
+class Rows(NamedTuple):
+    """A file's lines, masked and as they are, and the bracket depth at the start of each: made once a file."""
+
+    masked: list[str]
+    raw: list[str]
+    depth: list[int]
+
+    @classmethod
+    def of(cls, masked: str, text: str) -> Rows:
+        return cls(masked.split("\n"), text.split("\n"), _depths(masked))
+
+
+def python_end(file: Rows, line: int) -> int:
     """Last line of the Python declaration whose first line (decorators included) is `line`."""
-    rows, raw, depth = masked.split("\n"), text.split("\n"), _depths(masked)
+    rows, raw, depth = file
     at = line - 1
     while at < len(rows) - 1 and (depth[at] or not re.match(r"[ \t]*(?:async[ \t]+)?(?:def|class)\b", rows[at])):
         at += 1
@@ -104,47 +116,51 @@ def python_end(masked: str, text: str, line: int) -> int:
 
 def _continued(masked: str, spans: list[Span], lines: Lines, last: int) -> int:
     """The line on which a string that is open at the end of line `last` closes."""
-    for s in spans:
-        if s.kind == "string" and lines.of(s.start) <= last < lines.of(s.end - 1):
-            return lines.of(s.end - 1)
-    return last
+    if last >= len(lines.starts):
+        return last
+    # spans are in order and apart: only the one that reaches over the line's end can be open there
+    i = bisect_right(spans, lines.starts[last] - 1, key=lambda s: s.start) - 1
+    return lines.of(spans[i].end - 1) if i >= 0 and spans[i].kind == "string" and spans[i].end > lines.starts[last] else last
+
+
+SIGN, BRACE = re.compile(r"[()\[\];{]"), re.compile(r"[{}]")
 
 
 def brace_end(masked: str, start: int) -> int:
     """Offset of the last character of the declaration that starts at `start`: its closing brace, or its semicolon."""
-    round_, i = 0, start
-    while i < len(masked):
-        c = masked[i]
+    round_ = 0
+    for sign in SIGN.finditer(masked, start):
+        c = sign[0]
         if c in "([":
             round_ += 1
         elif c in ")]":
             round_ -= 1
         elif c == ";" and round_ <= 0:
-            return i
+            return sign.start()
         elif c == "{" and round_ <= 0:
             depth = 0
-            for m in re.finditer(r"[{}]", masked[i:]):
+            for m in BRACE.finditer(masked, sign.start()):
                 depth += 1 if m[0] == "{" else -1
                 if not depth:
-                    return i + m.start()
+                    return m.start()
             return len(masked.rstrip()) - 1
-        i += 1
     return max(start, len(masked.rstrip()) - 1)
 
 
-def last_line(text: str, lang: str, line: int, lexed: tuple[str, list[Span]] | None = None) -> int:
+def last_line(text: str, lang: str, line: int, lexed: tuple[str, list[Span]] | None = None, rows: Rows | None = None, lines: Lines | None = None) -> int:
     """The true last line of the declaration whose first line is `line`."""
     masked, spans = lexed or lex(text, lang)
-    lines = Lines(text)
+    lines = lines or Lines(text)
     if line < 1 or line > len(lines.starts):
         return line
     if lang == "python":
-        return _continued(masked, spans, lines, python_end(masked, text, line))
+        return _continued(masked, spans, lines, python_end(rows or Rows.of(masked, text), line))
     return lines.of(brace_end(masked, lines.starts[line - 1]))
 
 
 def _python_functions(text: str, masked: str, spans: list[Span]) -> list[Function]:
-    lines, rows, depth = Lines(text), masked.split("\n"), _depths(masked)
+    lines, file = Lines(text), Rows.of(masked, text)
+    rows, _, depth = file
     strings = {s.start: s for s in spans if s.kind == "string"}
     out = []
     for m in re.finditer(r"^([ \t]*)(?:async[ \t]+)?def[ \t]+(\w+)", masked, re.M):
@@ -173,7 +189,7 @@ def _python_functions(text: str, masked: str, spans: list[Span]) -> list[Functio
                 raw = text[s.start + len(start) : s.end]
                 q = 3 if raw[:3] in ('"""', "'''") else 1
                 doc = raw[q:-q] if len(raw) >= 2 * q else raw[q:]
-        out.append(Function(m[2], first, head, _continued(masked, spans, lines, python_end(masked, text, head)), header, doc))
+        out.append(Function(m[2], first, head, _continued(masked, spans, lines, python_end(file, head)), header, doc))
     return out
 
 

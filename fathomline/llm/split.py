@@ -113,10 +113,11 @@ def _symbols(limit: int, overlap: int):
             for path, text, starts in zip(batch["path"], batch["text"], batch["starts"], strict=True):
                 text, lang = code.normalise(text), code.language(path)
                 lexed, lines = code.lex(text, lang), text.split("\n")
+                rows_, starts_ = (code.Rows.of(lexed[0], text) if lang == "python" else None), code.Lines(text)
                 for line in sorted(starts):
                     if not 1 <= line <= len(lines):
                         continue
-                    last = code.last_line(text, lang, int(line), lexed)
+                    last = code.last_line(text, lang, int(line), lexed, rows_, starts_)
                     if last - line + 1 > limit:
                         part = lines[line - 1 : last]
                         for n, (i, j) in enumerate(cut(len(part), line_boundaries(part), limit, overlap), 1):
