@@ -19,11 +19,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.code import Span, functions, language, lex, normalise
-from fathomline.session import latest, stash
+from fathomline.llm.shingle import minhash, shingles
+from fathomline.session import latest, spread, stash
 
 IDENTIFIER = re.compile(r"[^\W\d][\w$]*|\$[\w$]*")
 # Words that are no names; folders that hold third-party packages; notices of tools and of upstream authors.
@@ -36,7 +37,6 @@ KEYWORDS = frozenset(
 )
 PACKAGES = re.compile(r"(?:^|/)(?:(?:node_modules|bower_components|site-packages)/|(?:third[_-]?party|3rd[_-]?party|_?vendor(?:ed)?|extern(?:al)?|deps)/[^/]+/)", re.I)
 UPSTREAM = re.compile(r"\bupstream of this copy\b|\b(?:vendored|copied|taken|imported) (?:verbatim )?from (?:upstream|https?://|the [\w.-]+ (?:project|distribution|library))|\bupstream\s*:\s*https?://", re.I)
-BANNER = re.compile(r"\A\s*[\w.@/-]+ v?\d+\.\d+(?:\.\d+)*\s*(?:\||[-–]|\n|\Z)[^\n]*", re.I)
 GENERATED = re.compile(
     r"""^\W*(?:
       (?:this\ (?:file|code|module|class)\ (?:is|was|has\ been)\ )?(?:auto[-\ ]?(?:matically\ )?|machine[-\ ])?generated\b(?!\ (?:method\ |function\ |class\ )?stub)(?:\ (?:by|from|on|with|code|file|using|automatically)\b|[;.,:!\s]|$)
@@ -51,6 +51,8 @@ GENERATED = re.compile(
     | (?:ficheiro|arquivo)\ gerado | não\ (?:editar|modificar) )""",
     re.I | re.X | re.M,
 )
+OTHER = re.compile(r"[^a-z0-9_$]")
+HUMP = re.compile(r"[a-z0-9][A-Z]")
 ASSIGNED = re.compile(r"^[ \t]*(?:(?:export|const|let|var|static|final|public|private|#define|int|long|auto|constexpr)\s+)*([^\W\d]\w*)\s*(?::[^=\n]*)?(?:=(?!=)|\s\d)", re.M)
 
 
@@ -59,18 +61,30 @@ def names(masked: str) -> list[str]:
 
 
 def grams(name: str) -> list[str]:
-    padded = f"\x02\x02{name.lower()}\x03"
+    """Trigrams of a name in lower case; letters of other scripts are one letter, so that a model stays below 40 ** 3 entries."""
+    padded = f"\x02\x02{OTHER.sub('?', name.lower())}\x03"
     return [padded[i - 2 : i + 1] for i in range(2, len(padded))]
 
 
+def convention(name: str) -> str:
+    """How a name joins its words: snake, camel or capital; empty for single words and constants, which show no style."""
+    core = name.strip("_$")
+    if not core or core.upper() == core:
+        return ""
+    if "_" in core:
+        return "snake" if core.lower() == core else ""
+    if HUMP.search(core):
+        return "capital" if core[0].isupper() else "camel"
+    return ""
+
+
 def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    count: dict[tuple[str, str], int] = Counter()
+    """Trigram counts of names (lang, name, n): each name counts once a file that has it."""
+    count: Counter[tuple[str, str]] = Counter()
     for batch in batches:
-        for path, text, declared in zip(batch["path"], batch["text"], batch["declared"], strict=True):
-            lang = language(path, declared)
-            for name in set(names(lex(normalise(text), lang)[0])):
-                # names in other scripts share one letter, so that a model stays below 40 ** 3 entries
-                count.update((lang, re.sub(r"[^\x02\x03a-z0-9_$]", "?", g)) for g in grams(name))
+        for lang, name, n in zip(batch["lang"], batch["name"], batch["n"], strict=True):
+            for g in grams(name):
+                count[lang, g] += n
     yield pd.DataFrame([(lang, g, n) for (lang, g), n in count.items()], columns=["lang", "gram", "n"])
 
 
@@ -83,10 +97,11 @@ class Model:
             context[g[:2]] += n
         self.cost = {g: -math.log2((n + 0.1) / (context[g[:2]] + 4)) for g, n in counts.items()}
         self.new = {c: -math.log2(0.1 / (n + 4)) for c, n in context.items()}
+        self.bits = lru_cache(100_000)(self._bits)
 
-    def bits(self, name: str) -> float:
+    def _bits(self, name: str) -> float:
         """Cross-entropy of a name, bits a character."""
-        got = [re.sub(r"[^\x02\x03a-z0-9_$]", "?", g) for g in grams(name)]
+        got = grams(name)
         return sum(self.cost.get(g) or self.new.get(g[:2], 5.3) for g in got) / len(got)
 
 
@@ -119,35 +134,23 @@ def bare_code(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def shingles(code: str, words: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the runs of five words or signs."""
-    w = re.findall(r"\w+|[^\w\s]", code)
-    return np.unique(np.array([xxhash.xxh64_intdigest("\x1f".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))], dtype=np.uint64).view(np.int64)) if w else np.zeros(0, np.int64)
-
-
-def minhash(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
-    """One key for each band of `rows` minima."""
-    rng = np.random.default_rng(5)
-    a = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        low = ((hashes.view(np.uint64)[None, :] * a[:, None] + b[:, None]) >> np.uint64(16)).min(1)
-    return [xxhash.xxh64_intdigest(bytes([i]) + low[i * rows : (i + 1) * rows].tobytes()) - 2**63 for i in range(bands)]
-
+READ = (
+    "path string, lang string, name array<string>, times array<int>, lines int, shapes double, declared double, literal double, notice boolean, package boolean, "
+    "snake int, camel int, capital int, copy long, bands array<long>"
+)
 
-FEATURES = "path string, lang string, bits double, names int, length double, lines int, shapes double, declared double, literal double, notice boolean, package boolean, copy long, bands array<long>"
 
+def _read(bands: int, rows: int):
+    """All that is taken from a file's text, which is lexed once: its names, shapes, notices and shingles."""
 
-def _features(counts: dict[str, dict[str, int]], bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = {lang: Model(c) for lang, c in counts.items()}
         for batch in batches:
             out = []
             for path, text, declared in zip(batch["path"], batch["text"], batch["declared"], strict=True):
                 text, lang = normalise(text), language(path, declared)
                 masked, spans = lexed = lex(text, lang)
-                found = names(masked)
-                cost = {n: models[lang].bits(n) for n in set(found)} if lang in models else {}
+                found = Counter(names(masked))
+                styles = Counter(map(convention, found))
                 shown = list(masked)
                 for x in spans:
                     if x.kind == "directive":
@@ -164,13 +167,28 @@ def _features(counts: dict[str, dict[str, int]], bands: int, rows: int):
                 kinds = [diversity(x) for x in (declared_names, assigned) if len(x) >= 6]
                 top = top_comment(text, spans)
                 hashes = shingles(bare_code(text, spans))
-                copy = xxhash.xxh64_intdigest(hashes.tobytes()) - 2**63
                 out.append((
-                    path, lang, float(np.mean([cost[n] for n in found])) if found and cost else 0.0, len(found), float(np.mean([len(n) for n in found])) if found else 0.0,
-                    len(code), diversity(code), min(kinds, default=1.0), min(1.0, held / max(1, size)), bool(GENERATED.search(top)),
-                    bool(PACKAGES.search(path) or UPSTREAM.search(top)), copy if len(hashes) else None, minhash(hashes, bands, rows) if len(hashes) else [],
+                    path, lang, list(found), list(found.values()), len(code), diversity(code), min(kinds, default=1.0), min(1.0, held / max(1, size)), bool(GENERATED.search(top)),
+                    bool(PACKAGES.search(path) or UPSTREAM.search(top)), styles["snake"], styles["camel"], styles["capital"],
+                    xxhash.xxh64_intdigest(hashes.tobytes()) - 2**63 if len(hashes) else None, minhash(hashes, bands, rows) if len(hashes) else [],
                 ))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")]).astype({"copy": "Int64"})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in READ.split(", ")]).astype({"copy": "Int64"})
+
+    return run
+
+
+def _costs(counts: dict[str, dict[str, int]]):
+    """Mean bits a character and mean length of each file's names, occurrences counted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = {lang: Model(c) for lang, c in counts.items()}
+        for b in batches:
+            out = []
+            for path, lang, name, times in zip(b["path"], b["lang"], b["name"], b["times"], strict=True):
+                n = int(sum(times))
+                bits = sum(models[lang].bits(x) * t for x, t in zip(name, times, strict=True)) / n if n else 0.0
+                out.append((path, bits, n, sum(len(x) * t for x, t in zip(name, times, strict=True)) / n if n else 0.0))
+            yield pd.DataFrame(out, columns=["path", "bits", "names", "length"])
 
     return run
 
@@ -196,9 +214,20 @@ def _similar(similarity: float):
     return run
 
 
+STYLES = ("snake", "camel", "capital")
+
+
+def foreign(least: int, share: float, usual: float) -> Column:
+    """Whether a file's names of several words are in one convention that the other files of its language seldom use."""
+    own = sum((F.col(c) for c in STYLES[1:]), F.col(STYLES[0]))
+    rest = sum((F.col(f"all_{c}") for c in STYLES[1:]), F.col(f"all_{STYLES[0]}")) - own
+    tests = [(F.col(c) >= share * own) & (F.col(f"all_{c}") - F.col(c) < usual * rest) for c in STYLES]
+    return (own >= least) & (rest >= 10 * least) & (tests[0] | tests[1] | tests[2])
+
+
 def not_handwritten(
     sources: DataFrame, skeletons: DataFrame | None = None, *, excess_bits: float = 1.0, mangled_length: float = 2.5, template: float = 0.25, template_names: float = 0.5,
-    template_lines: int = 12, data_share: float = 0.6, similarity: float = 0.8, bands: int = 16, rows: int = 4,
+    template_lines: int = 12, data_share: float = 0.6, style_names: int = 12, style_share: float = 0.8, style_usual: float = 0.02, similarity: float = 0.8, bands: int = 16, rows: int = 4,
 ) -> DataFrame:
     """(path, reasons): the files that nobody here wrote by hand, with any of generated, minified, third_party, data.
 
@@ -217,23 +246,30 @@ def not_handwritten(
         files = files.join(said, "path", "left")
     else:
         files = files.withColumn("declared", F.lit(None).cast("string"))
-    files = stash(files.where(F.length(F.trim("text")) > 0), "code-files")
-    counted = files.mapInPandas(_train, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    files = stash(spread(files.where(F.length(F.trim("text")) > 0)), "code-files")
+    read = stash(files.mapInPandas(_read(bands, rows), READ), "code-read")
+    each = read.select("lang", F.explode("name").alias("name")).groupBy("lang", "name").agg(F.count("*").alias("n"))
+    counted = each.mapInPandas(_train, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, g, n in counted.toPandas().itertuples(index=False):  # at most 40 ** 3 a language
         counts[lang][g] = n
-    features = stash(files.mapInPandas(_features(dict(counts), bands, rows), FEATURES), "code-features")
+    costs = stash(read.select("path", "lang", "name", "times").mapInPandas(_costs(dict(counts)), "path string, bits double, names int, length double"), "code-costs")
+    features = read.drop("name", "times", "bands").join(costs, "path")
     usual = features.where("names >= 8").groupBy("lang").agg(F.percentile_approx("bits", 0.5).alias("usual"))
-    judged = features.join(usual, "lang", "left").select(
-        "path", "package", "copy",
+    house = read.groupBy("lang").agg(*[F.sum(c).alias(f"all_{c}") for c in STYLES])
+    judged = features.join(F.broadcast(usual), "lang", "left").join(F.broadcast(house), "lang").select(  # a row a language
+        "path", "copy", "package", foreign(style_names, style_share, style_usual).alias("foreign"),
         (F.col("notice") | ((F.col("lines") >= template_lines) & (F.col("shapes") <= template)) | (F.col("declared") <= template_names)).alias("generated"),
         ((F.col("bits") > F.col("usual") + excess_bits) & (F.col("length") <= mangled_length) & (F.col("names") >= 8)).alias("minified"),
         ((F.col("literal") >= data_share) | ((F.col("lines") >= template_lines) & (F.col("shapes") <= template) & (F.col("literal") >= data_share / 3))).alias("data"),
     )
+    made = F.coalesce("generated", F.lit(False)) | F.coalesce("minified", F.lit(False)) | F.coalesce("data", F.lit(False))
+    judged = stash(judged.withColumn("package", F.col("package") | (F.col("foreign") & ~made)).drop("foreign"), "code-judged")
 
     # copies of third-party files: exact ones share their shingles' hash and are one group; similar groups are met in
     # minhash bands, where only ids travel, and their files are read again for the exact similarity
-    code = features.where("copy is not null").groupBy("copy").agg(F.max("package").alias("package"), F.min("path").alias("path"), F.first("bands").alias("bands"))
+    own = judged.select("path", "package").join(read.where("copy is not null").select("path", "copy", "bands"), "path")
+    code = own.groupBy("copy").agg(F.max("package").alias("package"), F.min("path").alias("path"), F.first("bands").alias("bands"))
     groups = stash(code, "code-copies")
     seeds = groups.where("package").select(F.explode("bands").alias("band"), F.col("copy").alias("seed"))
     others = groups.where("not package").select(F.explode("bands").alias("band"), "copy")
