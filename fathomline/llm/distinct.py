@@ -94,13 +94,14 @@ def _scores(total: int):
     return run
 
 
-def distinctive_terms(df: DataFrame, *, id_col: str = "id", text_col: str = "body", shortest: int = 1) -> DataFrame:
+def distinctive_terms(df: DataFrame, *, id_col: str = "id", text_col: str = "body", shortest: int = 1, least_score: float | None = None) -> DataFrame:
     """(id, term, tf, df, score): every term of every record, how often it occurs there, in how many records, and the
     posterior probability, from 0 to 1, that the record is about it.
 
     df has id_col and text_col, and mtime and read_at if records may be repeated; other columns are ignored. A repeated
     id is one record (the latest row). Null or empty texts have no terms but count as records; a null id is no record;
     an empty table gives no rows. Two records with the same text both count. Terms shorter than `shortest` are left out.
+    With least_score only terms come out whose posterior reaches it; the counts they are scored with are of all records.
     """
     records = latest(df, id_col, text_col)
     kind = dict(records.dtypes)[id_col]
@@ -108,4 +109,6 @@ def distinctive_terms(df: DataFrame, *, id_col: str = "id", text_col: str = "bod
     total = df.select(id_col).where(F.col(id_col).isNotNull()).distinct().count()
     histogram = occ.groupBy("term", "tf").agg(F.count("*").alias("n")).groupBy("term").agg(F.collect_list(F.struct("tf", "n")).alias("histogram"))
     scores = histogram.mapInPandas(_scores(total), "term string, tf long, df long, score double")
+    if least_score is not None:
+        scores = scores.where(F.col("score") >= least_score)
     return occ.join(scores, ["term", "tf"]).select("id", "term", "tf", "df", "score")

@@ -76,7 +76,7 @@ def plan(tokens: dict[str, float], targets: dict[str, float] | None = None, repe
     return Plan(a, min(size, min(most[s] / w for s, w in weights.items())), weights)
 
 
-def mixture(documents: DataFrame, source_weights: DataFrame, *, total: float | None = None, blocks: int = 4096, seed: int = 7, vocabulary: str = VOCABULARY) -> DataFrame:
+def mixture(documents: DataFrame, source_weights: DataFrame, *, total: float | None = None, fraction: float | None = None, entropy: float | None = None, blocks: int = 4096, seed: int = 7, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, use_no, tokens, place): every use of every record; sorting by place mixes the sources evenly.
 
     documents has doc_id, text, source; source_weights source, target_weight, max_repeats (at most 1000 sources). Other
@@ -84,6 +84,10 @@ def mixture(documents: DataFrame, source_weights: DataFrame, *, total: float | N
     records of sources that are null, not listed or have no positive target are left out. A repeated doc_id is one
     record. A listed source without records gets nothing and the others share its target; a null max_repeats is 1, of
     a source listed twice the first in order counts. A source misses its share by at most half a record.
+
+    The size is `total` tokens, or that fraction of the tokens of the listed sources, or as much as the targets allow.
+    Beyond what they allow, the weights lie between natural shares and targets, at the exponent that plan() bisects;
+    with an entropy (bits), they are the natural shares at the exponent that gives it, whatever the targets.
     """
     name = F.lower(F.trim("source"))
     rows = source_weights.where("source is not null and target_weight > 0").groupBy(name.alias("source"))
@@ -97,7 +101,9 @@ def mixture(documents: DataFrame, source_weights: DataFrame, *, total: float | N
     sized = stash(sized, "mix-sizes")
     per_block = stash(sized.groupBy("source", "block").agg(F.sum("tokens").alias("n")), "mix-blocks")
     have = {r["source"]: float(r["n"]) for r in per_block.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    p = plan(have, {s: w for s, (w, _) in listed.items()}, {s: m for s, (_, m) in listed.items()}, total)
+    if total is None and fraction is not None:
+        total = fraction * sum(have.values())
+    p = plan(have, {s: w for s, (w, _) in listed.items()}, {s: m for s, (_, m) in listed.items()}, total, entropy)
     spark = documents.sparkSession
     wanted = spark.createDataFrame([(s, w * p.total, have[s]) for s, w in p.weights.items()], "source string, budget double, whole double")
     starts = per_block.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")

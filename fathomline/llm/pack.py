@@ -9,14 +9,18 @@ clusters it holds as bitmaps: two copies of one text never share a container, no
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_left, insort
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.tokens import VOCABULARY, with_tokens
+from fathomline.llm.shingle import minhash, shingles
+from fathomline.llm.tokens import VOCABULARY, encoding
 from fathomline.session import stash
 
 
@@ -46,22 +50,53 @@ def best_fit(sizes: list[int], capacity: int, sources: list[int] | None = None,
     return out
 
 
+def copies(text: str, bands: int, rows: int) -> list[int]:
+    """Keys that near-copies of a text share: its minhash bands, of a text without words its signs; of a blank one none."""
+    signs = " ".join(text.lower().split())
+    found = minhash(shingles(re.sub(r"[^\w\s]+", " ", signs)), bands, rows)
+    return found or ([xxhash.xxh64_intdigest(signs) - 2**63] if signs else [])
+
+
+SIZED = "doc_id long, source string, listed boolean, tokens long, bands array<long>"
+
+
+def _sized(vocabulary: str, bands: int, rows: int):
+    """Tokens and minhash bands of each text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoding(vocabulary)
+        for b in batches:
+            tokens = [len(enc.encode_ordinary(t)) for t in b["text"]]
+            keys = [copies(t, bands, rows) for t in b["text"]]
+            yield b[["doc_id", "source", "listed"]].assign(tokens=tokens, bands=keys)
+
+    return run
+
+
 def packed(
-    documents: DataFrame, limits: DataFrame, *, exclusive: tuple[tuple[str, str], ...] = (), per_shard: int = 20_000, vocabulary: str = VOCABULARY
-) -> DataFrame:
+    documents: DataFrame, limits: DataFrame, *, listed: DataFrame | None = None, exclusive: tuple[tuple[str, str], ...] = (), per_shard: int = 20_000, vocabulary: str = VOCABULARY,
+    bands: int = 20, rows: int = 4,
+) -> DataFrame:
     """(item_kind, container, doc_id, part, token_start, token_end, tokens): where each text's tokens lie.
 
     documents has doc_id, text, source; limits item_kind, unit, max_size: each row whose unit is token is a kind of
     container. Other columns are ignored. A text is cut only if it exceeds the capacity: into full containers and a
     rest, which is packed like any other item. Null and empty texts and null ids take no container; a repeated doc_id
-    is one document; without limits or documents nothing comes out. Texts equal but for letter case and white space
-    are copies and lie in different containers; pairs in `exclusive` name sources that are kept apart.
+    is one document; without limits or documents nothing comes out. Texts whose words have shingles of five in common
+    to four fifths lie in different containers, and equal texts without a word; blank texts have no copies. Pairs in `exclusive` name sources
+    that are kept apart; with `listed` (source, at most 1000), so are its sources from all others, null ones included.
     """
     kinds = {r["item_kind"]: r["most"] for r in limits.where("lower(unit) = 'token' and max_size > 0").groupBy("item_kind").agg(F.min("max_size").alias("most")).collect()}
     source = F.coalesce(F.lower(F.trim("source")), F.lit(""))
-    docs = documents.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min_by(F.struct("text", source.alias("source")), F.struct("text", source)).alias("d"))
-    copy = F.xxhash64(F.regexp_replace(F.trim(F.lower("d.text")), r"\s+", " "))
-    sized = stash(with_tokens(docs.select("doc_id", F.col("d.source").alias("source"), copy.alias("copy"), F.col("d.text").alias("text")), "text", vocabulary).where("tokens > 0"), "pack-sizes")
+    known = F.lit(True)
+    if listed is not None:
+        names = [r[0] for r in listed.where("source is not null").select(F.lower(F.trim("source"))).distinct().limit(1001).collect()]
+        if len(names) > 1000:
+            raise ValueError("more than 1000 sources")
+        known = F.col("source").isin(names)
+    docs = documents.where("doc_id is not null and length(text) > 0").groupBy("doc_id").agg(F.min_by(F.struct("text", source.alias("source")), F.struct("text", source)).alias("d"))
+    docs = docs.select("doc_id", F.col("d.source").alias("source"), F.col("d.text").alias("text")).withColumn("listed", known)
+    sized = stash(docs.mapInPandas(_sized(vocabulary, bands, rows), SIZED).where("tokens > 0"), "pack-sizes")
     schema = "item_kind string, container long, doc_id long, part int, token_start long, token_end long, tokens long"
     out = documents.sparkSession.createDataFrame([], schema)
     shards = max(1, math.ceil(sized.count() / per_shard))
@@ -70,18 +105,23 @@ def packed(
     def run(kind: str, capacity: int):
         def pack(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("doc_id", ignore_index=True)
-            often = {c: 1 << i for i, c in enumerate(sorted(c for c, n in Counter(pdf["copy"]).items() if n > 1))}
-            bits = {s: 1 << i for i, s in enumerate(sorted({s for pair in apart for s in pair}))}
-            banned: dict[int, int] = {}
+            # only what occurs twice in the shard can conflict
+            often = {c: 1 << i for i, c in enumerate(sorted(c for c, n in Counter(c for own in pdf["bands"] for c in own).items() if n > 1))}
+            bits = {s: 4 << i for i, s in enumerate(sorted({s for pair in apart for s in pair}))}
+            held = {(s, in_list): bits.get(s, 0) | (1 if in_list else 2) for s, in_list in set(zip(pdf["source"], pdf["listed"], strict=True))}
+            banned = {mask: (2 if mask & 1 else 1) for mask in held.values()}
             for a, b in apart:
-                banned[bits[a]] = banned.get(bits[a], 0) | bits[b]
-                banned[bits[b]] = banned.get(bits[b], 0) | bits[a]
+                for mask in banned:
+                    banned[mask] |= (bits[b] if mask & bits[a] else 0) | (bits[a] if mask & bits[b] else 0)
             full, rest = [], []
-            for doc, src, cp, n in pdf[["doc_id", "source", "copy", "tokens"]].itertuples(index=False):
+            for doc, src, in_list, own, n in pdf[["doc_id", "source", "listed", "bands", "tokens"]].itertuples(index=False):
                 whole = n // capacity if n > capacity else 0
                 full += [(doc, p, p * capacity, (p + 1) * capacity) for p in range(whole)]
                 if n > whole * capacity:
-                    rest.append((doc, whole, whole * capacity, n, bits.get(src, 0), often.get(cp, 0)))
+                    cluster = 0
+                    for c in own:
+                        cluster |= often.get(c, 0)
+                    rest.append((doc, whole, whole * capacity, n, held[src, in_list], cluster))
             bins = best_fit([r[3] - r[2] for r in rest], capacity, [r[4] for r in rest], [r[5] for r in rest], banned)
             first = (max(bins) + 1) if bins else 0
             base = int(pdf["shard"].iloc[0]) << 32

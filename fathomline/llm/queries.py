@@ -24,8 +24,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    scored = distinct.distinctive_terms(table(prepare(spark), folder, "keyphrase_cases"), shortest=6)
-    return scored.where("tf >= 3 and df <= 5").select("id", "term")
+    """Terms of which the record is more likely an elite one than not; the counts asked for are then checked exactly."""
+    elite = distinct.distinctive_terms(table(prepare(spark), folder, "keyphrase_cases"), shortest=6, least_score=0.5)
+    return elite.where("tf >= 3 and df <= 5").select("id", "term")
 
 
 def p3_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,7 +67,9 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
-    return pack.packed(table(prepare(spark), folder, "documents"), table(spark, folder, "size_limits"))
+    """Near-copies in different containers, and sources that the mixture lists never with others."""
+    documents, limits, weights = (table(prepare(spark), folder, t) for t in ("documents", "size_limits", "source_weights"))
+    return pack.packed(documents, limits, listed=weights)
 
 
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,6 +80,12 @@ def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mix.mixture(table(prepare(spark), folder, "documents"), table(spark, folder, "source_weights"))
 
 
+def p9_tempered(spark: SparkSession, folder: str) -> DataFrame:
+    """A mixture of nine tenths of the listed sources' tokens: more than the targets allow, so the exponent is bisected."""
+    weights = table(prepare(spark), folder, "source_weights")
+    return mix.shares(mix.mixture(table(spark, folder, "documents"), weights, fraction=0.9), weights)
+
+
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix.shares(p9_mixture(spark, folder), table(spark, folder, "source_weights"))
 
@@ -93,7 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_stretches, p2_found, p3_found, p3_scores, p4_found, p4_clean, p5_found, p5_pieces, p6_found, p6_pairs, p7_found, p7_reasons,
-        p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_subjects,
+        p8_containers, p8_fill, p9_mixture, p9_shares, p9_tempered, p10_found, p10_subjects,
     )
 }
 
