@@ -58,9 +58,10 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
-def doc_terms(text: str | None) -> tuple[int, dict[int, list[int]]]:
-    """Number of sentences, and the sentences each term occurs in. A term is a word in a language, so that words that
-    two languages share stay apart; it is the word's 60-bit hash with the language's place in the four lowest bits."""
+def doc_terms(text: str | None) -> tuple[int, int, dict[int, list[int]]]:
+    """Number of sentences, the text's language, and the sentences each term occurs in. A term is a word in a language,
+    so that words that two languages share stay apart; it is the word's 60-bit hash with the language's place in the
+    four lowest bits. The commonest words of a language are on no subject and no terms."""
     found: dict[int, list[int]] = {}
     parts = sentences(text)
     langs = [spoken(p) for p in parts]
@@ -68,9 +69,9 @@ def doc_terms(text: str | None) -> tuple[int, dict[int, list[int]]]:
     for i, (words, lang) in enumerate(zip(parts, langs, strict=True)):
         tongue = lang if lang >= 0 else usual
         for w in set(words):
-            if len(w) > 1:
+            if len(w) > 1 and tongue not in USUAL.get(w, ()):
                 found.setdefault((hashed(w) & ~15) | tongue, []).append(i)
-    return len(parts), found
+    return len(parts), usual, found
 
 
 @lru_cache(200_000)
@@ -78,42 +79,50 @@ def hashed(word: str) -> int:
     return xxhash.xxh64_intdigest(word) - 2**63
 
 
-GRAPH = "doc_id long, sentences int, terms array<long>, at array<array<int>>"
+GRAPH = "doc_id long, sentences int, tongue int, terms array<long>, at array<array<int>>"
 
 
 def _graph(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for key, text in zip(batch["doc_id"], batch["text"], strict=True):
-            n, found = doc_terms(text)
-            rows.append((key, n, list(found), list(found.values())))
-        yield pd.DataFrame(rows, columns=["doc_id", "sentences", "terms", "at"])
+            n, tongue, found = doc_terms(text)
+            rows.append((key, n, tongue, list(found), list(found.values())))
+        yield pd.DataFrame(rows, columns=["doc_id", "sentences", "tongue", "terms", "at"])
 
 
-def _verified(sums: DataFrame, k: int, agree: float, clear: float, least: float) -> DataFrame:
+def _verified(sums: DataFrame, known: DataFrame, k: int, agree: float, clear: float, least: float, rare: float) -> DataFrame:
     """(term, own, shares): terms whose documents agree; own is the subject of a specific term, null for an ambiguous one.
+    known (term, df, docs, covered) are the documents that hold a term, two at least, all documents in its language, and
+    whether four fifths of the subjects have labelled documents in it.
 
     Shares are smoothed and weighed against the square root of each subject's frequency in the term's language, since
     what is known at first differs between languages. A term's subject must also be three standard deviations more
-    frequent with it than in its language, so that a common subject needs more documents.
+    frequent with it than in its language, so that a common subject needs more documents. Where fewer than `least`
+    times four labelled documents hold it, one standard deviation and less smoothing do, if few documents of the
+    language (a share of `rare` at most) hold the term at all: words that are on no subject are in more. In a language
+    where subjects have no labels, their words would fall to other subjects, so there this doesn't apply.
     """
     tongue = F.col("term").bitwiseAND(F.lit(15))
     usual = sums.groupBy(tongue.alias("tongue")).agg(*[F.sum(f"w{i}").alias(f"u{i}") for i in range(k)])  # a row a language
     whole = sum((F.col(f"u{i}") for i in range(1, k)), F.col("u0"))
     usual = usual.select("tongue", *[((F.col(f"u{i}") / whole + 0.02) / (1 + 0.02 * k)).alias(f"p{i}") for i in range(k)])
     n = sum((F.col(f"w{i}") for i in range(1, k)), F.col("w0"))
-    near = sums.withColumn("n", n).where(F.col("n") >= least).withColumn("tongue", tongue).join(usual, "tongue")
-    lift = [(F.col(f"w{i}") + 2 * F.col(f"p{i}")) / (F.col("n") + 2) / F.sqrt(f"p{i}") for i in range(k)]
+    near = sums.withColumn("n", n).where(F.col("n") > 0.3).join(known, "term").withColumn("tongue", tongue).join(F.broadcast(usual), "tongue")
+    seldom = F.coalesce("covered", F.lit(False)) & (F.col("n") < 4 * least) & (F.col("df") <= rare * F.col("docs"))
+    near = near.withColumn("seldom", seldom).where((F.col("n") >= least) | F.col("seldom"))
+    prior = F.when(F.col("seldom"), 0.5).otherwise(2.0)
+    lift = [(F.col(f"w{i}") + prior * F.col(f"p{i}")) / (F.col("n") + prior) / F.sqrt(f"p{i}") for i in range(k)]
     apart = [(F.col(f"w{i}") - F.col("n") * F.col(f"p{i}")) / F.sqrt(F.col("n") * F.col(f"p{i}") * (1 - F.col(f"p{i}")) + 1e-9) for i in range(k)]
-    out = near.select("term", "n", F.array(*lift).alias("l"), F.array(*apart).alias("z"))
-    out = out.withColumn("s", F.aggregate("l", F.lit(0.0), lambda a, x: a + x)).select("term", "n", "z", F.transform("l", lambda x: x / F.col("s")).alias("shares"))
+    out = near.select("term", "n", "seldom", F.array(*lift).alias("l"), F.array(*apart).alias("z"))
+    out = out.withColumn("s", F.aggregate("l", F.lit(0.0), lambda a, x: a + x)).select("term", "n", "seldom", "z", F.transform("l", lambda x: x / F.col("s")).alias("shares"))
     top = F.array_max("shares")
     at = F.array_position("shares", top).cast("int")
     strong = F.filter(F.arrays_zip("shares", "z"), lambda x: (x["shares"] >= clear) & (x["z"] >= 2))
     mass = F.aggregate(strong, F.lit(0.0), lambda a, x: a + x["shares"])
     # in many documents, one subject more frequent than usual and no other is as good as a clear share
     alone = (F.size(F.filter("z", lambda z: z >= 2)) == 1) & (top >= agree * 5 / 6) & (F.element_at("z", at) >= 5) & (F.col("n") >= 8 * least)
-    out = out.where(F.element_at("z", at) >= 3).withColumn("own", F.when((top >= agree) | alone, at - 1))
+    out = out.where(F.element_at("z", at) >= F.when(F.col("seldom"), 1).otherwise(3)).withColumn("own", F.when((top >= agree) | alone, at - 1))
     return out.where(F.col("own").isNotNull() | (F.size(strong).between(2, 3) & (mass >= 0.7) & (F.col("n") >= 4 * least)))
 
 
@@ -145,9 +154,34 @@ def assign(terms: list[dict], sentences: int, k: int, clear: float, brief: int)
     return [float(len(x)) for x in touched]
 
 
+def _output(scored: DataFrame, seeded: DataFrame, names: list[str], brief: int) -> DataFrame:
+    """(doc_id, subject, sentences, of): what each document's evidence says, and seeds that it neither shows nor denies.
+
+    A given label is clamped in the output where the document's words are on no subject at all and most other seeds of
+    that subject and language aren't found by their words either: its words are still unknown. Where they are known, a
+    document without any of them contradicts its label.
+    """
+    k = len(names)
+    none = F.array(*[F.lit(0.0)] * k)
+    own = seeded.join(scored.select("doc_id", "s"), "doc_id", "left").select("doc_id", "sentences", "tongue", F.coalesce("s", none).alias("s"), F.explode("given").alias("i"))
+    rate = own.groupBy("tongue", "i").agg(F.avg((F.get(F.col("s"), F.col("i")) > 0).cast("double")).alias("rate"))  # a row a language and subject
+    blank = own.where(F.array_max("s") == 0).join(F.broadcast(rate), ["tongue", "i"]).where("rate < 0.5")
+    clamped = blank.groupBy("doc_id").agg(F.first("sentences").alias("sentences"), F.slice(F.sort_array(F.collect_set("i")), 1, 2).alias("at"))
+
+    def rule(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(key, names[i], int(s[i]), int(n)) for key, n, s in zip(b["doc_id"], b["sentences"], b["s"], strict=True) for i in _rule(s, n, brief)]
+            yield pd.DataFrame(rows, columns=["doc_id", "subject", "sentences", "of"])
+
+    shown = scored.mapInPandas(rule, "doc_id long, subject string, sentences int, of int")
+    subject = F.explode(F.transform("at", lambda i: F.get(F.array(*map(F.lit, names)), i)))
+    return shown.unionByName(clamped.select("doc_id", subject.alias("subject"), F.lit(0).alias("sentences"), F.col("sentences").alias("of")))
+
+
 def subject_areas(
-    documents: DataFrame, labels: DataFrame, areas: DataFrame, *, rounds: int = 3, agree: float = 0.6, clear: float = 0.15, least: float = 1.5, brief: int = 9
-) -> DataFrame:
+    documents: DataFrame, labels: DataFrame, areas: DataFrame, *, rounds: int = 8, agree: float = 0.6, clear: float = 0.15, least: float = 1.5,
+    brief: int = 9, rare: float = 0.12, growth: float = 1.05,
+) -> DataFrame:
     """(doc_id, subject, sentences, of): none, one or two subjects of each document and how many of its sentences are on it.
 
     documents has doc_id, text; labels doc_id, subject; areas subject (at most 200; repeated or null ones count once or
@@ -168,6 +202,11 @@ def subject_areas(
     graph = stash(docs.mapInPandas(_graph, GRAPH).where("sentences > 0"), "subject-graph")
     given = labels.select("doc_id", index[F.lower(F.trim("subject"))].alias("s")).where("doc_id is not null and s is not null").distinct()
     seeds = stash(given.groupBy("doc_id").agg(F.collect_set("s").alias("given")), "subject-seeds")
+    shown = graph.join(seeds, "doc_id").select("tongue", F.explode("given").alias("s")).groupBy("tongue").agg(F.count_distinct("s").alias("shown"))
+    in_language = graph.groupBy("tongue").agg(F.count("*").alias("docs")).join(F.broadcast(shown), "tongue", "left")  # a row a language
+    counted = graph.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df > 1")
+    known = counted.withColumn("tongue", F.col("term").bitwiseAND(F.lit(15)).cast("int")).join(F.broadcast(in_language), "tongue")
+    known = stash(known.select("term", "df", "docs", (F.col("shown") >= 0.8 * k).alias("covered")), "subject-known")
 
     def summed(votes: DataFrame) -> DataFrame:
         """(term, w0...): votes (term, s, w), few rows a document, in a column a subject."""
@@ -176,28 +215,29 @@ def subject_areas(
     # each document's labels as one list, joined to its terms as one list, so that the graph is shuffled a row a document
     first = graph.join(seeds, "doc_id").select("terms", F.explode("given").alias("s"), (F.lit(1.0) / F.size("given")).alias("w"))
     sums = summed(first.select(F.explode("terms").alias("term"), "s", "w"))
-    found = empty
+    found, before = empty, 0
     for turn in range(rounds):
-        terms = stash(_verified(sums, k, agree, clear, least), "subject-terms").select("term", "own", "shares")
+        terms = stash(_verified(sums, known, k, agree, clear, least, rare), "subject-terms").select("term", "own", "shares")
+        specific = terms.where("own is not null").count()
+        # the third round is the last unless words of subjects are still being found
+        last = turn == rounds - 1 or (turn >= 2 and specific <= before * growth)
+        before = specific
         edges = graph.select("doc_id", "sentences", F.explode(F.arrays_zip("terms", "at")).alias("e")).select("doc_id", "sentences", F.col("e.terms").alias("term"), F.col("e.at").alias("at"))
         held = edges.join(terms, "term").groupBy("doc_id").agg(F.first("sentences").alias("sentences"), F.collect_list(F.struct("term", "own", "at", "shares")).alias("terms"))
-        last = turn == rounds - 1
 
-        def score(batches: Iterator[pd.DataFrame], last: bool = last) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 rows = []
                 for key, n, terms in zip(b["doc_id"], b["sentences"], b["terms"], strict=True):
-                    s = assign(terms, n, k, clear, brief)
-                    if last:
-                        rows += [(key, names[i], int(s[i]), int(n)) for i in _rule(s, n, brief)]
-                    else:
-                        rows.append((key, s, [{"term": t["term"], "own": int(t["own"]), "n": float(len(t["at"]))} for t in terms if t["own"] is not None and t["own"] == t["own"]]))
-                yield pd.DataFrame(rows, columns=["doc_id", "subject", "sentences", "of"] if last else ["doc_id", "s", "own"])
+                    own = [{"term": t["term"], "own": int(t["own"]), "n": float(len(t["at"]))} for t in terms if t["own"] is not None and t["own"] == t["own"]]
+                    rows.append((key, n, assign(terms, n, k, clear, brief), own))
+                yield pd.DataFrame(rows, columns=["doc_id", "sentences", "s", "own"])
 
+        scored = held.mapInPandas(score, "doc_id long, sentences int, s array<double>, own array<struct<term: long, own: int, n: double>>")
         if last:
-            found = held.mapInPandas(score, "doc_id long, subject string, sentences int, of int")
+            scored = stash(scored.select("doc_id", "sentences", "s"), "subject-scored")
+            found = _output(scored, graph.select("doc_id", "sentences", "tongue").join(seeds, "doc_id"), names, brief)
             break
-        scored = held.mapInPandas(score, "doc_id long, s array<double>, own array<struct<term: long, own: int, n: double>>")
 
         def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             """Each document's shares of its subjects (term null), and how much less of them each of its own terms sees."""
@@ -222,7 +262,7 @@ def subject_areas(
                         rows += [(key, t["term"], i, (rest[i] / left if left else 0.0) - w) for i, w in enumerate(full) if w]
                 yield pd.DataFrame(rows, columns=["doc_id", "term", "s", "w"]).astype({"term": "Int64"})
 
-        judged = stash(scored.join(seeds, "doc_id", "full_outer").mapInPandas(votes, "doc_id long, term long, s int, w double"), "subject-votes")
+        judged = stash(scored.select("doc_id", "s", "own").join(seeds, "doc_id", "full_outer").mapInPandas(votes, "doc_id long, term long, s int, w double"), "subject-votes")
         labelled = judged.where("term is null").groupBy("doc_id").agg(F.collect_list(F.struct("s", "w")).alias("v"))
         spread = graph.select("doc_id", "terms").join(labelled, "doc_id").select("terms", F.explode("v").alias("v")).select(F.explode("terms").alias("term"), "v.s", "v.w")
         sums = summed(spread.unionByName(judged.where("term is not null").select("term", "s", "w")))
