@@ -16,8 +16,12 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,7 +137,7 @@ def _rule(scores: list[float], sentences: int, brief: int) -> list[int]:
     return ranked[:2]
 
 
-def assign(terms: list[dict], sentences: int, k: int, clear: float, brief: int) -> list[float]:
+def assign(terms: list[dict], k: int, clear: float) -> list[float]:
     """Sentences of each subject in one document, from its verified terms {own, at, shares}."""
     touched: list[set[int]] = [set() for _ in range(k)]
     for t in terms:
@@ -154,6 +158,80 @@ def assign(terms: list[dict], sentences: int, k: int, clear: float, brief: int)
     return [float(len(x)) for x in touched]
 
 
+HELD = "struct<term: long, own: int, at: array<int>, shares: array<double>>"
+
+
+class Held(NamedTuple):
+    """The verified terms of a batch of documents, flat: document, term, subject (-1 if ambiguous), number of sentences."""
+
+    doc: np.ndarray
+    term: np.ndarray
+    own: np.ndarray
+    n: np.ndarray
+    s: np.ndarray  # (documents, subjects): sentences of each
+
+
+def _evidence(batch: pa.RecordBatch, k: int, clear: float) -> Held:
+    """Sentences of each subject in each document; documents with ambiguous terms go through assign()."""
+    column = batch["terms"]
+    doc = np.repeat(np.arange(len(column)), np.asarray(pc.list_value_length(column)))
+    term, own, at, shares = column.flatten().flatten()
+    own = np.asarray(own.fill_null(-1)).astype(np.int64)
+    n = np.asarray(pc.list_value_length(at)).astype(np.int64)
+    clean = own >= 0
+    rows = np.repeat(np.arange(len(doc)), n)
+    sentence = np.asarray(at.flatten()).astype(np.int64)
+    use = clean[rows]
+    longest = int(sentence.max(initial=0)) + 1
+    cells = np.unique((doc[rows[use]] * k + own[rows[use]]) * longest + sentence[use]) // longest
+    s = np.bincount(cells, minlength=len(column) * k).reshape(len(column), k).astype(float)
+    starts = np.searchsorted(doc, np.arange(len(column) + 1))
+    for d in np.unique(doc[~clean]):
+        a, b = int(starts[d]), int(starts[d + 1])
+        some = zip(np.asarray(term.slice(a, b - a)).tolist(), own[a:b].tolist(), at.slice(a, b - a).to_pylist(), shares.slice(a, b - a).to_pylist(), strict=True)
+        # in the order of terms, whatever order they came in
+        s[d] = assign([{"own": o if o >= 0 else None, "at": x, "shares": y} for _, o, x, y in sorted(some, key=lambda t: t[0])], k, clear)
+    return Held(doc, np.asarray(term), own, n, s)
+
+
+def _dense(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
+def _scored(k: int, clear: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["sentences"], _dense(_evidence(b, k, clear).s)], names=["doc_id", "sentences", "s"])
+
+    return run
+
+
+def _votes(k: int, clear: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's shares of its subjects (term null), and how much less of them each of its own terms sees."""
+        for b in batches:
+            h = _evidence(b, k, clear)
+            # clamp: a given label that the document's evidence doesn't contradict counts as two sentences more
+            given = b["given"]
+            label = np.zeros_like(h.s, bool)
+            label[np.repeat(np.arange(len(given)), np.asarray(pc.list_value_length(given).fill_null(0))), np.asarray(given.flatten()).astype(np.int64)] = True
+            s = h.s + 2.0 * (label & ((h.s > 0) | ~h.s.any(1, keepdims=True)))
+            whole = s.sum(1, keepdims=True)
+            full = s / np.maximum(whole, 1e-12)
+            some = np.flatnonzero(whole[:, 0] > 0)
+            rows = np.flatnonzero(h.own >= 0)
+            doc, own = h.doc[rows], h.own[rows]
+            rest = s[doc]
+            rest[np.arange(len(rows)), own] = np.maximum(0.0, rest[np.arange(len(rows)), own] - h.n[rows])
+            left = rest.sum(1, keepdims=True)
+            less = np.where(full[doc] > 0, np.divide(rest, left, out=np.zeros_like(rest), where=left > 0) - full[doc], 0.0)
+            ids = np.asarray(b["doc_id"])
+            term = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(h.term[rows].astype(np.int64))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], ids[doc]])), term, _dense(np.concatenate([full[some], less]))], names=["doc_id", "term", "v"])
+
+    return run
+
+
 def _output(scored: DataFrame, seeded: DataFrame, names: list[str], brief: int) -> DataFrame:
     """(doc_id, subject, sentences, of): what each document's evidence says, and seeds that it neither shows nor denies.
 
@@ -209,12 +287,15 @@ def subject_areas(
     known = stash(known.select("term", "df", "docs", (F.col("shown") >= 0.8 * k).alias("covered")), "subject-known")
 
     def summed(votes: DataFrame) -> DataFrame:
-        """(term, w0...): votes (term, s, w), few rows a document, in a column a subject."""
-        return votes.groupBy("term").agg(*[F.sum(F.when(F.col("s") == i, F.col("w")).otherwise(0.0)).alias(f"w{i}") for i in range(k)])
+        """(term, w0...): votes (term, v), v a weight a subject."""
+        return votes.groupBy("term").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"w{i}") for i in range(k)])
 
     # each document's labels as one list, joined to its terms as one list, so that the graph is shuffled a row a document
-    first = graph.join(seeds, "doc_id").select("terms", F.explode("given").alias("s"), (F.lit(1.0) / F.size("given")).alias("w"))
-    sums = summed(first.select(F.explode("terms").alias("term"), "s", "w"))
+    even = F.array(*[F.when(F.array_contains("given", i), F.lit(1.0) / F.size("given")).otherwise(0.0) for i in range(k)])
+    sums = summed(graph.join(seeds, "doc_id").select(even.alias("v"), F.explode("terms").alias("term")))
+    # a seed votes even where none of its terms is verified yet
+    seeded = graph.select("doc_id", "sentences", "tongue").join(seeds, "doc_id")
+    alone = seeded.select("doc_id", "sentences", "given", F.lit(None).cast(HELD).alias("t"))
     found, before = empty, 0
     for turn in range(rounds):
         terms = stash(_verified(sums, known, k, agree, clear, least, rare), "subject-terms").select("term", "own", "shares")
@@ -223,47 +304,13 @@ def subject_areas(
         last = turn == rounds - 1 or (turn >= 2 and specific <= before * growth)
         before = specific
         edges = graph.select("doc_id", "sentences", F.explode(F.arrays_zip("terms", "at")).alias("e")).select("doc_id", "sentences", F.col("e.terms").alias("term"), F.col("e.at").alias("at"))
-        held = edges.join(terms, "term").groupBy("doc_id").agg(F.first("sentences").alias("sentences"), F.collect_list(F.struct("term", "own", "at", "shares")).alias("terms"))
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                rows = []
-                for key, n, terms in zip(b["doc_id"], b["sentences"], b["terms"], strict=True):
-                    own = [{"term": t["term"], "own": int(t["own"]), "n": float(len(t["at"]))} for t in terms if t["own"] is not None and t["own"] == t["own"]]
-                    rows.append((key, n, assign(terms, n, k, clear, brief), own))
-                yield pd.DataFrame(rows, columns=["doc_id", "sentences", "s", "own"])
-
-        scored = held.mapInPandas(score, "doc_id long, sentences int, s array<double>, own array<struct<term: long, own: int, n: double>>")
+        hit = edges.join(terms, "term").select("doc_id", "sentences", F.lit(None).cast("array<int>").alias("given"), F.struct("term", "own", "at", "shares").alias("t"))
+        held = hit.unionByName(alone).groupBy("doc_id").agg(F.first("sentences").alias("sentences"), F.max("given").alias("given"), F.collect_list("t").alias("terms"))
         if last:
-            scored = stash(scored.select("doc_id", "sentences", "s"), "subject-scored")
-            found = _output(scored, graph.select("doc_id", "sentences", "tongue").join(seeds, "doc_id"), names, brief)
+            scored = stash(held.mapInArrow(_scored(k, clear), "doc_id long, sentences int, s array<double>"), "subject-scored")
+            found = _output(scored, seeded, names, brief)
             break
-
-        def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """Each document's shares of its subjects (term null), and how much less of them each of its own terms sees."""
-            for b in batches:
-                rows = []
-                for key, s, own, labels_ in zip(b["doc_id"], b["s"], b["own"], b["given"], strict=True):
-                    s = list(s) if s is not None else [0.0] * k
-                    # clamp: a given label that the document's evidence doesn't contradict counts as two sentences more
-                    if labels_ is not None:
-                        blank = not any(s)
-                        s = [x + 2.0 * (i in labels_ and (x > 0 or blank)) for i, x in enumerate(s)]
-                    whole = sum(s)
-                    if not whole:
-                        continue
-                    full = [x / whole for x in s]
-                    own_terms = own if own is not None else []
-                    rows += [(key, None, i, w) for i, w in enumerate(full) if w]
-                    for t in own_terms:
-                        rest = list(s)
-                        rest[t["own"]] = max(0.0, rest[t["own"]] - t["n"])
-                        left = sum(rest)
-                        rows += [(key, t["term"], i, (rest[i] / left if left else 0.0) - w) for i, w in enumerate(full) if w]
-                yield pd.DataFrame(rows, columns=["doc_id", "term", "s", "w"]).astype({"term": "Int64"})
-
-        judged = stash(scored.select("doc_id", "s", "own").join(seeds, "doc_id", "full_outer").mapInPandas(votes, "doc_id long, term long, s int, w double"), "subject-votes")
-        labelled = judged.where("term is null").groupBy("doc_id").agg(F.collect_list(F.struct("s", "w")).alias("v"))
-        spread = graph.select("doc_id", "terms").join(labelled, "doc_id").select("terms", F.explode("v").alias("v")).select(F.explode("terms").alias("term"), "v.s", "v.w")
-        sums = summed(spread.unionByName(judged.where("term is not null").select("term", "s", "w")))
+        judged = stash(held.mapInArrow(_votes(k, clear), "doc_id long, term long, v array<double>"), "subject-votes")
+        spread = graph.select("doc_id", "terms").join(judged.where("term is null").select("doc_id", "v"), "doc_id").select("v", F.explode("terms").alias("term"))
+        sums = summed(spread.unionByName(judged.where("term is not null").select("v", "term")))
     return found
