@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.llm.code import Lines
 from fathomline.session import latest
 
 # Names of HTML elements, LaTeX environments and sectioning commands; stop words of the first pass.
@@ -75,6 +76,8 @@ WIKI_HEADING = re.compile(r"[ \t]*(={1,6})(?!=)[ \t]*(\S.*?)[ \t]*(?<!=)\1[ \t]*
 RULE = re.compile(r"[ ]{0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$")
 ITEM = re.compile(r"(?:[ ]{0,3}>[ ]?)*([ \t]*)(?:([-+*])|(\d{1,9})[.)])[ \t]+(?:\[[ xX]\][ \t]+)?(\S.*)$")
 WIKI_ITEM = re.compile(r"([*#]+[*#:;]*)[ \t]*(\S.*)$")
+NUMBERED = re.compile(r"#+[*#:]* ?\S")
+STARRED, NESTED = re.compile(r"(\*+[*#]*|#[*#]+)[ \t]*(\S.*)$"), re.compile(r"(\*{2,}|[*#]*\*#|#{2,}\*)[ \t]+(\S.*)$")
 SETEXT = re.compile(r"[ ]{0,3}(=+|-+)[ \t]*$")
 TABLE = re.compile(r"[ \t]*(?:\|.*\|?|\{\|.*|\|\}|!.*!!.*)[ \t]*$")
 TAG = re.compile(rf"</?(?:{'|'.join(TAGS.split())})\b{ATTRS}>", re.I)
@@ -102,8 +105,11 @@ def squeeze(text: str) -> str:
     return SPACE.sub(" ", text).strip()
 
 
+ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
+
+
 def entities(text: str) -> str:
-    return re.sub(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);", lambda m: html.unescape(m[0]), text)
+    return ENTITY.sub(lambda m: html.unescape(m[0]), text) if "&" in text else text
 
 
 def braces(text: str, at: int) -> int:
@@ -126,8 +132,50 @@ def braces(text: str, at: int) -> int:
     return len(text) if end < 0 else end
 
 
+# Inline markup, in the order in which it is taken off: pattern, what stays.
+HOLDS_CODE = re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
+HOLDS_MATH = (
+    re.compile(rf"<math\b{ATTRS}>(.*?)</math\s*>", re.S | re.I),
+    re.compile(r"\\\((.+?)\\\)", re.S),
+    re.compile(r"\\\[(.+?)\\\]", re.S),
+    re.compile(r"(?<![\\$])\$\$?(?![\s$])((?:[^$\\\n]|\\[^\n])*?(?<![\s\\]))\$\$?(?![\d$])"),
+)
+UNSEEN = (re.compile(r"<!--.*?-->|%%(?!%).*?%%", re.S), re.compile(r"<ref\b[^<>]*/>|<ref\b.*?</ref\s*>", re.S | re.I))
+BRACKETS = tuple(
+    (re.compile(p), r)
+    for p, r in (
+        (r"!\[\[[^\]\n]*\]\]", ""), (r"!\[([^\]\n]*)\]\([^)\n]*\)", r"\1"), (r"\[\[(?:[^\]|\n]*\|)?([^\]\n]*)\]\]", r"\1"), (r"\[\^[^\]\n]+\]", ""),
+        (r"\[((?:[^\[\]\n]|\[[^\]\n]*\])*)\]\((?:[^()\n]|\([^()\n]*\))*\)", r"\1"), (r"\[(?:https?|ftp|mailto):\S+\s+([^\]\n]+)\]", r"\1"),
+    )
+)
+TEMPLATE = re.compile(r"\{\{[^{}]*\}\}")
+TEX_OUTER = tuple(
+    (re.compile(p), r)
+    for p, r in (
+        (r"\\(?:cite[a-z]*|ref|label|footnote|index|vspace|hspace)\*?(?:\[[^\]]*\])*\{[^{}]*\}", ""),
+        (r"\\(?:begin|end|documentclass|usepackage)(?:\[[^\]]*\])?\{[^{}]*\}(?:\{[^{}\n]*\})?", ""), (r"\\href\{[^{}]*\}\{", r"{"),
+    )
+)
+TEX_INNER = tuple(
+    (re.compile(p), r)
+    for p, r in (
+        (r"\{\\(?:it|bf|em|tt|sc|sl|rm|sf|itshape|bfseries|ttfamily)\b\s*([^{}]*)\}", r"\1"), (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1"), (r"(?<!\\)\{([^{}]*)\}", r"\1"),
+    )
+)
+TEX_BREAK, SOFT = re.compile(r"\\\\(?=\s|$)"), re.compile(rf"<wbr{ATTRS}>", re.I)
+TIE, ESCAPED, TICKS = re.compile(r"(?<=\w)~(?=\w)|(?<=\w)~(?=\s|$)"), re.compile(r"\\([\\`*_{}\[\]()#+\-.!&%$~<>|^])"), re.compile(r"'{5}|'{3}|''")
+MARKS = tuple(
+    [(m, re.compile(rf"{re.escape(m)}(?=\S)(.+?)(?<=\S){re.escape(m)}")) for m in ("***", "**", "*", "~~", "==")]
+    + [(m, re.compile(rf"(?<!\w){m}(?=\S)(.+?)(?<=\S){m}(?!\w)")) for m in ("___", "__", "_")]
+)
+ANCHOR, KEPT = re.compile(r"\s\^[\w-]+\s*$"), re.compile(r"\x00(\d+)\x01")
+SIGNS = re.compile(r"[\x00\x01<`$\\\[{&~*_='^%]")
+
+
 def plain(text: str) -> str:
     """Inline text without the markup of any of the four languages; entities resolved, white space runs made one."""
+    if not SIGNS.search(text):  # most texts have no markup at all
+        return squeeze(text)
     kept: list[str] = []
 
     def keep(value: str) -> str:
@@ -135,42 +183,46 @@ def plain(text: str) -> str:
         return f"\x00{len(kept) - 1}\x01"
 
     text = text.replace("\x00", " ").replace("\x01", " ")
-    text = re.sub(r"<!--.*?-->|%%(?!%).*?%%", " ", text, flags=re.S)
-    text = re.sub(r"<ref\b[^<>]*/>|<ref\b.*?</ref\s*>", "", text, flags=re.S | re.I)
-    text = re.sub(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", lambda m: keep(m[2]), text, flags=re.S)
-    text = re.sub(rf"<math\b{ATTRS}>(.*?)</math\s*>", lambda m: keep(m[1]), text, flags=re.S | re.I)
-    text = re.sub(r"\\\((.+?)\\\)|\\\[(.+?)\\\]", lambda m: keep(m[1] or m[2]), text, flags=re.S)
-    text = re.sub(r"(?<![\\$])\$\$?(?![\s$])((?:[^$\\\n]|\\[^\n])*?(?<![\s\\]))\$\$?(?![\d$])", lambda m: keep(m[1]), text)
-    text = re.sub(r"!\[\[[^\]\n]*\]\]", "", text)
-    text = re.sub(r"!\[([^\]\n]*)\]\([^)\n]*\)", r"\1", text)
-    text = re.sub(r"\[\[(?:[^\]|\n]*\|)?([^\]\n]*)\]\]", r"\1", text)
-    text = re.sub(r"\[\^[^\]\n]+\]", "", text)
-    text = re.sub(r"\[((?:[^\[\]\n]|\[[^\]\n]*\])*)\]\((?:[^()\n]|\([^()\n]*\))*\)", r"\1", text)
-    text = re.sub(r"\[(?:https?|ftp|mailto):\S+\s+([^\]\n]+)\]", r"\1", text)
-    text = re.sub(r"\{\{[^{}]*\}\}", "", text)
-    text = re.sub(r"\\(?:cite[a-z]*|ref|label|footnote|index|vspace|hspace)\*?(?:\[[^\]]*\])*\{[^{}]*\}", "", text)
-    text = re.sub(r"\\(?:begin|end|documentclass|usepackage)(?:\[[^\]]*\])?\{[^{}]*\}(?:\{[^{}\n]*\})?", "", text)
-    text = re.sub(r"\\href\{[^{}]*\}\{", r"{", text)
-    for _ in range(8):
-        new = re.sub(r"\{\\(?:it|bf|em|tt|sc|sl|rm|sf|itshape|bfseries|ttfamily)\b\s*([^{}]*)\}", r"\1", text)
-        new = re.sub(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", new)
-        new = re.sub(r"(?<!\\)\{([^{}]*)\}", r"\1", new)
-        if new == text:
-            break
-        text = new
-    text = re.sub(r"\\\\(?=\s|$)", " ", text)
-    text = re.sub(rf"<wbr{ATTRS}>", "", text, flags=re.I)
-    text = entities(TAG.sub("", BREAK.sub(" ", text)))
-    text = re.sub(r"(?<=\w)~(?=\w)|(?<=\w)~(?=\s|$)", " ", text)
-    text = re.sub(r"\\([\\`*_{}\[\]()#+\-.!&%$~<>|^])", lambda m: keep(m[1]), text)
-    text = re.sub(r"'''''|'''|''", "", text)
-    for mark in (r"\*\*\*", r"\*\*", r"\*", "~~", "=="):
-        text = re.sub(rf"{mark}(?=\S)(.+?)(?<=\S){mark}", r"\1", text)
-    for mark in ("___", "__", "_"):
-        text = re.sub(rf"(?<!\w){mark}(?=\S)(.+?)(?<=\S){mark}(?!\w)", r"\1", text)
-    text = re.sub(r"\s\^[\w-]+\s*$", "", text)
-    for _ in range(2):
-        text = re.sub(r"\x00(\d+)\x01", lambda m: kept[int(m[1])], text)
+    if "<" in text or "%" in text:
+        text = UNSEEN[1].sub("", UNSEEN[0].sub(" ", text))
+    if "`" in text:
+        text = HOLDS_CODE.sub(lambda m: keep(m[2]), text)
+    if "<" in text or "\\" in text or "$" in text:
+        for p in HOLDS_MATH:
+            text = p.sub(lambda m: keep(m[1]), text)
+    if "[" in text:
+        for p, r in BRACKETS:
+            text = p.sub(r, text)
+    if "{" in text:
+        text = TEMPLATE.sub("", text)
+        for p, r in TEX_OUTER:
+            text = p.sub(r, text)
+        for _ in range(8):
+            new = text
+            for p, r in TEX_INNER:
+                new = p.sub(r, new)
+            if new == text:
+                break
+            text = new
+    if "\\" in text:
+        text = TEX_BREAK.sub(" ", text)
+    if "<" in text:
+        text = TAG.sub("", BREAK.sub(" ", SOFT.sub("", text)))
+    text = entities(text)
+    if "~" in text:
+        text = TIE.sub(" ", text)
+    if "\\" in text:
+        text = ESCAPED.sub(lambda m: keep(m[1]), text)
+    if "'" in text:
+        text = TICKS.sub("", text)
+    for mark, p in MARKS:
+        if mark in text:
+            text = p.sub(r"\1", text)
+    if "^" in text:
+        text = ANCHOR.sub("", text)
+    if kept:
+        for _ in range(2):
+            text = KEPT.sub(lambda m: kept[int(m[1])], text)
     return squeeze(text)
 
 
@@ -245,28 +297,56 @@ def scan(text: str) -> tuple[list[Element], str, str]:
     return found, "".join(out), "".join(seen)
 
 
+SHOWS_TEX = re.compile(r"\s*\\(?:begin|end|item|(?:sub)*section)\b")
+SHOWS_WIKI = re.compile(r"\s*(?:\{\||\|-|\|\}|={2,6}[^=].*={2,6}\s*$|\*\*? ?\S.*''|: ?<math)")
+SHOWS_HTML = re.compile(r"\s*</?(?:p|div|ul|ol|li|h[1-6]|table|tr|body|html)\b", re.I)
+SHOWS_MARKDOWN = re.compile(r"\s*(?:#{2,6} |[-+] |\d+[.)] |```|~~~|\|[ -:]+-)")
+MARKDOWN_INLINE = re.compile(r"\*\*\S|\]\(|~~")
+
+
 def _dialect(line: str) -> str | None:
     """The markup a line is surely written in, if it shows."""
-    if re.match(r"\s*\\(?:begin|end|item|(?:sub)*section)\b", line):
+    if SHOWS_TEX.match(line):
         return "tex"
-    if re.match(r"\s*(?:\{\||\|-|\|\}|={2,6}[^=].*={2,6}\s*$|\*\*? ?\S.*''|: ?<math)", line) or "'''" in line or "{{" in line:
+    if SHOWS_WIKI.match(line) or "'''" in line or "{{" in line:
         return "wiki"
-    if re.match(r"\s*</?(?:p|div|ul|ol|li|h[1-6]|table|tr|body|html)\b", line, re.I):
+    if SHOWS_HTML.match(line):
         return "html"
-    if re.match(r"\s*(?:#{2,6} |[-+] |\d+[.)] |```|~~~|\|[ -:]+-)", line) or re.search(r"\*\*\S|\]\(|~~", line):
-        return "markdown"
-    return None
+    return "markdown" if SHOWS_MARKDOWN.match(line) or MARKDOWN_INLINE.search(line) else None
+
+
+UNSURE = "?"  # a line that means two things in two markups, until its neighbours decide
 
 
 def elements(text: str | None) -> list[Element]:
     """The structural elements of a text in reading order. Offsets count after line ends are made one newline."""
     text = normalise(text)
-    found, bare, seen = scan(text)
-    lines, starts, pos = bare.split("\n"), [], 0
+    scanned = scan(text)
+    return settled(first_pass(text, *scanned), scanned[1])
+
+
+def settled(parts: list[Element], bare: str) -> list[Element]:
+    """Second pass over structural blocks: an unsure "# x" is a numbered item where the nearest decided line is wiki
+    text, and a heading elsewhere."""
+    if not any(e.kind == UNSURE for e in parts):
+        return parts
+    dialects, at = list(map(_dialect, bare.split("\n"))), Lines(bare)
+    return [e._replace(kind="list_item" if _nearest(dialects, at.of(e.start) - 1) == "wiki" else "heading") if e.kind == UNSURE else e for e in parts]
+
+
+def first_pass(text: str, found: list[Element], bare: str, seen: str) -> list[Element]:
+    """Structural blocks by their own form, those that could be two things marked unsure."""
+    found, lines, starts, pos = list(found), bare.split("\n"), [], 0
     for line in lines:
         starts.append(pos)
         pos += len(line) + 1
     taken = bytearray(len(text) + 1)
+    dialects: list[str | None] = []
+
+    def near(i: int) -> str | None:
+        if not dialects:
+            dialects.extend(map(_dialect, lines))
+        return _nearest(dialects, i)
 
     def add(kind: str, level: int, start: int, end: int, content: str) -> None:
         value = plain(content)
@@ -284,7 +364,6 @@ def elements(text: str | None) -> list[Element]:
     for m in TEX_ITEM.finditer(bare):
         add("list_item", 1, m.start(), m.end(), seen[m.start(1) : m.end(1)])
 
-    dialects = [_dialect(line) for line in lines]
     paragraph: int | None = None
     i = 0
     while i < len(lines):
@@ -311,12 +390,8 @@ def elements(text: str | None) -> list[Element]:
             i += 1
             continue
         if m := ATX.match(line):
-            run = [j for j in (i - 1, i + 1) if 0 <= j < len(lines) and re.match(r"#+[*#:]* ?\S", lines[j])]
-            if len(m[1]) == 1 and run and _nearest(dialects, i) == "wiki":
-                add("list_item", 1, lead, start + len(line), seen[start + m.start(2) : start + m.end(2)])
-            else:
-                head = start + m.start(1)
-                add("heading", len(m[1]), head, start + len(line), seen[start + m.start(2) : start + m.end(2)])
+            run = len(m[1]) == 1 and any(0 <= j < len(lines) and NUMBERED.match(lines[j]) for j in (i - 1, i + 1))
+            add(UNSURE if run else "heading", len(m[1]), start + m.start(1), start + len(line), seen[start + m.start(2) : start + m.end(2)])
             paragraph = None
             i += 1
             continue
@@ -326,8 +401,10 @@ def elements(text: str | None) -> list[Element]:
             i += 1
             continue
         m = ITEM.match(line)
-        if m is None and (w := re.match(r"(\*+[*#]*|#[*#]+)[ \t]*(\S.*)$", line)) and not line.startswith("**") or (m is None and (w := re.match(r"(\*{2,}|[*#]*\*#|#{2,}\*)[ \t]+(\S.*)$", line))):
-            if w[1] != "*" or _nearest(dialects, i) == "wiki" and "*" not in line[1:]:
+        if m is None and line[0] in "*#":
+            w = STARRED.match(line) if not line.startswith("**") else None
+            w = w or NESTED.match(line)
+            if w and (w[1] != "*" or "*" not in line[1:] and near(i) == "wiki"):
                 m = w
         if m is not None:
             j, content_at = i + 1, start + m.start(m.lastindex)
@@ -360,59 +437,88 @@ def _nearest(dialects: list[str | None], at: int) -> str | None:
     return None
 
 
-def blocks(text: str | None, *, long: int = 200, short: int = 70, high: float = 0.32, low: float = 0.2, links: float = 0.4) -> list[Block]:
-    """All blocks of a text with their labels, after both passes."""
+class Labelled(NamedTuple):
+    elements: list[Element]
+    blocks: list[Block]
+
+
+BARE_WORD = re.compile(r"[^\W\d_]+")
+PARAGRAPH = re.compile(r"\S[^\n]*(?:\n(?![ \t]*\n)[^\n]*)*")
+QUOTE = re.compile(r"(?m)^[ \t]*(?:>[ \t]?)+(?:\[![^\]]*\])?")
+TABULAR = re.compile(rf"\s*<table\b{ATTRS}>|\s*\\begin\{{tabular", re.I)
+
+
+def labelled(text: str | None, *, long: int = 200, short: int = 70, high: float = 0.32, low: float = 0.2, links: float = 0.4) -> Labelled:
+    """The blocks of a text with their labels, after both passes, and the structural elements in them.
+
+    A block's text is what is seen of it, with its markup; clean() takes that off. A formula within a line is an element
+    of its block and no block.
+    """
     text = normalise(text)
-    found, bare, seen = scan(text)
-    parts = elements(text)
-    shape = [Block(e.kind, e.start, e.end, e.text if e.kind != "code_block" else text[e.start : e.end]) for e in parts if e.kind != "formula" or e.level]
-    shape.sort(key=lambda b: (b.start, -b.end))
+    scanned = found, bare, seen = scan(text)
+    parts = first_pass(text, *scanned)
+    shape = sorted((e for e in parts if e.kind != "formula" or e.level), key=lambda e: (e.start, -e.end))
     out: list[Block] = []
     at = 0
-    for b in [*shape, Block("", len(text), len(text), "")]:
-        if b.start < at:
+    for e in [*shape, Element("", 0, len(text), len(text), "")]:
+        if e.start < at:
             continue
-        gap = bare[at : b.start]
-        for m in re.finditer(r"\S(?:.|\n(?![ \t]*\n))*", gap):
-            # inline formulas and code are blank in `bare`; the visible text comes from `seen`
-            raw = seen[at + m.start() : at + m.end()]
-            if TABLE.match(raw.split("\n")[0]) or re.match(rf"\s*<table\b{ATTRS}>|\s*\\begin\{{tabular", raw, re.I):
-                out.append(Block("table", at + m.start(), at + m.end(), plain(raw)))
+        # inline formulas and code are blank in `bare`; the visible text comes from `seen`
+        for m in PARAGRAPH.finditer(bare, at, e.start):
+            raw = seen[m.start() : m.end()]
+            if TABLE.match(raw.split("\n")[0]) or TABULAR.match(raw):
+                out.append(Block("table", m.start(), m.end(), raw))
                 continue
-            value = plain(re.sub(r"(?m)^[ \t]*(?:>[ \t]?)+(?:\[![^\]]*\])?", "", raw))
-            if not value:
+            raw = QUOTE.sub("", raw)
+            visible = squeeze(TAG.sub("", raw)) if "<" in raw else squeeze(raw)
+            words = BARE_WORD.findall(visible.lower())
+            if not visible:
                 continue
-            words = value.lower().split()
-            linked = sum(len(x[0]) for x in LINK.finditer(raw)) / max(1, len(raw))
-            density = sum(w.strip(".,;:!?()'\"") in STOP_WORDS for w in words) / len(words)
+            linked = sum(len(x[0]) for x in LINK.finditer(raw)) / len(raw) if "[" in raw or "<" in raw or "\\" in raw or "://" in raw else 0.0
+            density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
             if linked > links:
                 label = "bad"
-            elif len(value) < short:
+            elif len(visible) < short:
                 label = "?" if density < high else "good?"
             elif density >= high:
-                label = "good" if len(value) > long else "good?"
-            elif density >= low:
-                label = "good?"
+                label = "good" if len(visible) > long else "good?"
             else:
-                label = "bad"
-            out.append(Block(label, at + m.start(), at + m.end(), value))
-        if b.label:
-            out.append(b)
-        at = max(at, b.end)
-    decided = [b.label if b.label in ("good", "bad") else "good" if b.label in ("heading", "list_item", "code_block", "formula") else None for b in out]
+                label = "good?" if density >= low else "bad"
+            out.append(Block(label, m.start(), m.end(), raw))
+        if e.kind:
+            out.append(Block(e.kind, e.start, e.end, e.text if e.kind != "code_block" else text[e.start : e.end]))
+        at = max(at, e.end)
+
+    parts = settled(parts, bare)
+    kinds = {e.start: e.kind for e in parts}
+    out = [b._replace(label=kinds[b.start]) if b.label == UNSURE and b.start in kinds else b for b in out]
+    structural = ("heading", "list_item", "code_block", "formula")
+    decided = [b.label if b.label in ("good", "bad") else "good" if b.label in structural else None for b in out]
+    before, after = [None] * len(out), [None] * len(out)
+    for order, near in ((range(len(out)), before), (range(len(out) - 1, -1, -1), after)):
+        last = None
+        for i in order:
+            near[i] = last
+            last = decided[i] or last
     for i, b in enumerate(out):
         if b.label in ("?", "good?"):
-            near = {decided[j] for j in (next((j for j in range(i - 1, -1, -1) if decided[j]), i), next((j for j in range(i + 1, len(out)) if decided[j]), i))} - {None}
+            near = {before[i], after[i]} - {None}
             bad = near == {"bad"} if b.label == "good?" else "bad" in near and "good" not in near
             out[i] = b._replace(label="bad" if bad else "good")
-    return out
+    return Labelled(parts, out)
+
+
+def blocks(text: str | None, **limits: float) -> list[Block]:
+    """All blocks of a text with their labels, after both passes, their inline markup taken off."""
+    return [b if b.label in ("heading", "list_item", "code_block", "formula") else b._replace(text=plain(b.text)) for b in labelled(text, **limits).blocks]
 
 
-def clean(text: str | None) -> str:
+def clean(text: str | None, found: Labelled | None = None) -> str:
     """Clean text: headings as "#" lines, items as "-" lines, code fenced, formulas in dollars, boilerplate left out."""
-    level = {e.start: e.level for e in elements(text) if e.kind == "heading"}
+    found = found or labelled(text)
+    level = {e.start: e.level for e in found.elements if e.kind == "heading"}
     lines = []
-    for b in blocks(text):
+    for b in found.blocks:
         if b.label == "heading":
             lines.append("#" * level.get(b.start, 1) + " " + b.text)
         elif b.label == "list_item":
@@ -421,8 +527,8 @@ def clean(text: str | None) -> str:
             lines.append("```\n" + code_body(b.text) + "\n```")
         elif b.label == "formula":
             lines.append("$$" + b.text + "$$")
-        elif b.label in ("good", "table"):
-            lines.append(b.text)
+        elif b.label in ("good", "table") and (value := plain(b.text)):
+            lines.append(value)
     return "\n\n".join(lines)
 
 
@@ -444,7 +550,7 @@ def _elements(id_col: str, text_col: str):
             rows = []
             for key, text in zip(batch[id_col], batch[text_col], strict=True):
                 ordinal: dict[str, int] = {}
-                for e in elements(text):
+                for e in labelled(text).elements:
                     ordinal[e.kind] = ordinal.get(e.kind, 0) + 1
                     rows.append((key, e.kind, ordinal[e.kind], e.level, e.start, e.end, e.text))
             yield pd.DataFrame(rows, columns=["id", "element", "ordinal", "level", "start", "stop", "plain_text"])
@@ -469,7 +575,8 @@ def clean_texts(df: DataFrame, *, id_col: str = "note_id", text_col: str = "cont
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            labels = [[b.label for b in blocks(t)] for t in batch[text_col]]
-            yield pd.DataFrame({"id": batch[id_col], "clean_text": [clean(t) for t in batch[text_col]], "blocks": [len(x) for x in labels], "dropped": [x.count("bad") for x in labels]})
+            found = list(map(labelled, batch[text_col]))
+            texts = [clean(t, x) for t, x in zip(batch[text_col], found, strict=True)]
+            yield pd.DataFrame({"id": batch[id_col], "clean_text": texts, "blocks": [len(x.blocks) for x in found], "dropped": [sum(b.label == "bad" for b in x.blocks) for x in found]})
 
     return latest(df, id_col, text_col).mapInPandas(run, f"id {kind}, clean_text string, blocks int, dropped int").select("id", F.coalesce("clean_text", F.lit("")).alias("clean_text"), "blocks", "dropped")
