@@ -11,6 +11,7 @@ import ast
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -326,33 +327,39 @@ def innermost(lines: DataFrame, syms: DataFrame) -> DataFrame:
     return hit.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("path", "line", "selector")
 
 
+REMARK = re.compile(r"\s*(?:#|//|/\*|\*|$)")
+
+
 def code_units(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, str, str]]:
     """(offset, text, title): a unit a symbol, its comment block above included, and what lies between; longer ones in
-    windows of lines. Each line belongs to the innermost symbol."""
-    lines = text.splitlines(keepends=True)
-    owner = [""] * len(lines)
-    for a, b, title in sorted(spans, key=lambda s: (s[0], -s[1])):
-        owner[a - 1 : min(b, len(lines))] = [title] * (min(b, len(lines)) - a + 1)
-    runs: list[list] = []
-    for i, title in enumerate(owner):
-        if runs and runs[-1][2] == title:
-            runs[-1][1] = i + 1
-        else:
-            runs.append([i, i + 1, title])
-    for before, after in zip(runs, runs[1:]):
-        chatter = all(not x.strip() or x.strip().startswith(("#", "//", "/*", "*")) for x in lines[before[0] : before[1]])
-        if after[2] and chatter:
-            after[0], before[1] = before[0], before[0]
-    offsets = [0]
-    for x in lines:
-        offsets.append(offsets[-1] + len(x))
+    windows of lines. Each line belongs to the innermost symbol.
+
+    Gaps and islands: lines are cut wherever a span begins or ends, each stretch takes its narrowest span's title, and
+    neighbouring stretches of one title are one island.
+    """
+    offsets = [0, *(m.end() for m in re.finditer(r"\n(?=.)", text, re.S)), len(text)]
+    count = len(offsets) - 1
+    if not text or not count:
+        return []
+    s = pd.DataFrame(sorted(spans, key=lambda x: (x[0], -x[1])), columns=["a", "b", "title"])
+    s = s.assign(a=s["a"] - 1, b=np.minimum(s["b"], count))
+    edges = np.unique(np.concatenate([[0, count], s["a"], s["b"]]).astype(int).clip(0, count))
+    at = np.searchsorted(edges, s[["a", "b"]].to_numpy(int))
+    owner = np.full(len(edges) - 1, -1)
+    for i, (first, end) in enumerate(at):  # later spans begin further in
+        owner[first:end] = i
+    titles = np.append(s["title"].to_numpy(object), "")[owner]
+    new = np.flatnonzero(np.append(True, titles[1:] != titles[:-1]))
+    begin, title = edges[new], titles[new]
+    spoken = np.cumsum([0, *(REMARK.match(text[i:j]) is None for i, j in zip(offsets, offsets[1:], strict=False))])
+    end = np.append(begin[1:], count)
+    remarks = np.append(False, (spoken[end] == spoken[begin])[:-1]) & (title != "")  # what stands above is comment only
+    begin = np.where(remarks, np.append(0, begin[:-1]), begin)
+    end = np.where(np.append(remarks[1:], False), begin, end)
     out = []
-    for a, b, title in runs:
-        step = b - a if b - a <= UNIT_LINES else WINDOW_LINES
-        for s in range(a, b, max(1, step)):
-            part = "".join(lines[s : min(s + step, b)])
-            if part.strip():
-                out.append((offsets[s], part, title))
+    for a, b, name in zip(begin.tolist(), end.tolist(), title, strict=True):
+        marks = [*range(a, b, WINDOW_LINES if b - a > UNIT_LINES else max(1, b - a)), b]
+        out += [(offsets[i], part, name) for i, j in zip(marks, marks[1:], strict=False) if (part := text[offsets[i] : offsets[j]]).strip()]
     return out
 
 
