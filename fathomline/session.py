@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -39,9 +40,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one made here where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one is made for a local master (tests);
+    on a cluster that is an error, as a folder of one machine would not be seen by the others."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not re.fullmatch(r"local(?:\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="fathomline-")
         atexit.register(shutil.rmtree, made, True)
         place = f"file://{made}"
@@ -49,14 +53,93 @@ def work_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+RUN = uuid.uuid4().hex  # of this process: its intermediate tables lie in one folder
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and survives lost executors."""
+    """Write df to the shared folder and read it back: lineage ends there and survives lost executors.
+
+    Plans made from it read it later, so it stays until release() or the end of the process.
+    """
     spark = df.sparkSession
-    place = f"{work_dir(spark)}/fathomline/{name}-{uuid.uuid4().hex}"
+    place = f"{work_dir(spark)}/fathomline/{RUN}/{name}-{uuid.uuid4().hex}"
+    if (where := f"{work_dir(spark)}/fathomline/{RUN}") not in _runs:
+        _runs.add(where)
+        atexit.register(_quietly, release, spark)
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
 
+_runs: set[str] = set()
+
+
+def _quietly(action, *given) -> None:
+    try:
+        action(*given)
+    except Exception:  # the session may be gone when the process ends
+        return
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process; plans made from them can't be run afterwards."""
+    for where in sorted(_runs):
+        files, path = shared(spark, where)
+        files.delete(path, True)
+        _runs.discard(where)
+
+
+# --- small files in the shared folder -------------------------------------------------------------------------------
+
+
+def shared(spark: SparkSession, place: str):
+    """The file system of a place, and the place in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def names_in(spark: SparkSession, place: str) -> list[str]:
+    """Names in a folder, sorted; none if it isn't there."""
+    files, path = shared(spark, place)
+    return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
+
+
+def read_small(spark: SparkSession, place: str) -> str:
+    files, path = shared(spark, place)
+    stream = files.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def claim(spark: SparkSession, place: str, content: str) -> bool:
+    """Create a small file; False if it is there already. Of several writers exactly one gets it.
+
+    The name is taken exclusively (a local file by the operating system, others by a create that doesn't overwrite, which
+    is atomic where the file system says so), and the content follows: a reader that meets half of it takes the file
+    before.
+    """
+    files, path = shared(spark, place)
+    files.mkdirs(path.getParent())
+    if files.getUri().getScheme() == "file":
+        try:
+            out = os.open(path.toUri().getPath(), os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o644)
+        except FileExistsError:
+            return False
+        with os.fdopen(out, "wb") as file:
+            file.write(content.encode())
+        return True
+    try:
+        stream = files.create(path, False)
+    except Exception as error:
+        if "AlreadyExists" in str(error):
+            return False
+        raise
+    stream.write(bytearray(content.encode()))
+    stream.close()
+    return True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
