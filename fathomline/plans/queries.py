@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import STOP_WORDS, in_folder, line_at, stem_of, version
+from fathomline.plans import star
 from fathomline.operators import codegraph, convert, dense, evaluate, files, history, index, links, prose, reading, search
-from fathomline.session import latest, prepare, spread, table
+from fathomline.plans import star
+from fathomline.session import latest, prepare, spread, table, work_dir
 from fathomline.streaming import refresh
 
 QUESTION = "open question glossary compiler photosynthesis zebra"
@@ -35,17 +39,39 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
     return latest(table(prepare(spark), folder, "sources"), "path", "text").select("path", "text")
 
 
+def _kept(spark: SparkSession, folder: str, name: str, docs: DataFrame, profile: str) -> index.Index:
+    """The persisted index of a corpus in the shared folder, brought up to date first: a change of nothing reads the
+    documents' times only."""
+    place = f"{work_dir(spark)}/fathomline-index/{name}-{profile}-{hashlib.sha1(folder.encode()).hexdigest()[:12]}"
+    index.refresh(spark, place, docs, profile=profile)
+    return index.load(spark, place)
+
+
 def words_index(spark: SparkSession, folder: str) -> index.Index:
-    return index.build(corpus(spark, folder), "words")
+    return _kept(spark, folder, "documents", corpus(spark, folder), "words")
 
 
 # --- tokens, index, ranking -----------------------------------------------------------------------------------------
 
-QUOTED = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
+# The function words again, for the SQL alone, so that an error in the column expressions shows.
+STOPS_SQL = """
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs
+    themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because
+    as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further
+    then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don
+    should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn versus via etc
+    io me mi mio mia miei mie tu te ti tuo tua tuoi tue lui lei sé si suo sua suoi sue noi ci nostro nostra nostri nostre voi vi vostro vostra vostri vostre
+    loro essi esse esso essa questo questa questi queste quello quella quelli quelle ciò che chi cui il lo la i gli le un uno una di a da in con su per tra fra
+    del dello della dei degli delle al allo alla ai agli alle dal dallo dalla dai dagli dalle nel nello nella nei negli nelle sul sullo sulla sui sugli sulle e
+    ed o ma se anche non né come dove quando perché mentre oppure sia ancora già più meno molto poco tutto tutti tutta tutte ogni qualche alcuni alcune altro
+    altra altri altre stesso stessa stessi stesse sono sei è siamo siete eri eravamo erano essere stato stata stati ho hai ha abbiamo avete hanno aveva avevano
+    avere avuto fa fanno fare fatto può possono qui qua lì là così poi
+"""
+STOPPED = f"(SELECT DISTINCT strip_accents(unnest(regexp_extract_all('{STOPS_SQL}', '[^\\s]+'))))"
 NAME = r"regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\.[^.]*$', '\1')"
 WORD_SQL = rf"""
     w AS (SELECT doc_id AS key, unnest(list_transform(regexp_extract_all(concat_ws(chr(10), {NAME}, coalesce(text, '')), '[\p{{L}}\p{{N}}]+'), lambda x: strip_accents(lower(x)))) AS term FROM documents),
-    t AS (SELECT key, term, count(*) AS tf FROM w WHERE length(term) >= 2 AND term NOT IN ({QUOTED}) GROUP BY key, term),
+    t AS (SELECT key, term, count(*) AS tf FROM w WHERE length(term) >= 2 AND term NOT IN {STOPPED} GROUP BY key, term),
     l AS (SELECT d.doc_id AS key, coalesce(sum(tf), 0) AS dl FROM documents d LEFT JOIN t ON t.key = d.doc_id GROUP BY d.doc_id),
     st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM l)"""
 
@@ -73,6 +99,17 @@ def postings(spark, folder):
     return index.postings_of(corpus(spark, folder), "words")
 
 
+def index_build(spark, folder):
+    """A new index of the corpus, written and read again."""
+    place = f"{work_dir(prepare(spark))}/fathomline-index/new-{uuid.uuid4().hex}"
+    index.refresh(spark, place, corpus(spark, folder), profile="words")
+    return index.load(spark, place).postings
+
+
+def function_words(spark, folder):
+    return prepare(spark).createDataFrame([(w,) for w in STOP_WORDS], "word string")
+
+
 def doc_freq_idf(spark, folder):
     return search.idf_table(words_index(spark, folder)).select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -179,12 +216,46 @@ def version_guard(spark, folder):
     return out.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def _note_corpus(spark, folder):
+    return notes(spark, folder).select(F.col("path").alias("key"), stem_of(F.col("path")).alias("name"), "text", "mtime")
+
+
 def search_hits(spark, folder):
-    n = notes(spark, folder).select(F.col("path").alias("key"), stem_of(F.col("path")).alias("name"), "text", "mtime")
-    hits = search.search(spark, index.build(n), n, "open question about the glossary", k=8, queries=("rough draft",)).hits
+    """Two query groups over the persisted index of the notes, with windows."""
+    n = _note_corpus(spark, folder)
+    hits = search.search(spark, _kept(spark, folder, "notes", n, "full"), n, "open question about the glossary", k=8, queries=("rough draft",)).hits
     return hits.select("key", "section", "line", "version", "score", F.array_join("matched_terms", " ").alias("matched_terms"), "coverage", "window")
 
 
+def _search_sections(spark, folder):
+    n = _note_corpus(spark, folder)
+    return search.search(spark, _kept(spark, folder, "notes", n, "words"), n, QUESTION, k=8, profile="words")
+
+
+def search_sections(spark, folder):
+    """The whole search for one question: documents, then their sections, two of a document, eight in all."""
+    return _search_sections(spark, folder).hits.select("key", "section", "off", "first_line", "last_line", "score", F.array_join("matched_terms", " ").alias("matched_terms"), "coverage")
+
+
+def search_signals(spark, folder):
+    """The counts beside the hits: candidates, and ranked documents that weren't shown and match as well."""
+    s = _search_sections(spark, folder).signals
+    return spark.createDataFrame([(s["candidates"], s["unseen"], s["docs_in_scope"], " ".join(s["terms_absent"]))], "candidates long, unseen long, docs long, absent string")
+
+
+def search_documents(spark, folder):
+    return _search_sections(spark, folder).documents.where("rank <= 8").select("key", "score", F.array_join("matched_terms", " ").alias("matched_terms"), "coverage", "rank")
+
+
+def search_code(spark, folder):
+    """Units of source files as what is cut, cited from first to last line."""
+    s = sources(spark, folder).withColumn("mtime", F.lit(0.0))
+    docs = s.select(F.col("path").alias("key"), stem_of(F.col("path")).alias("name"), "text", "mtime")
+    parts = codegraph.units(s, codegraph.skeletons(s)).select(F.col("path").alias("key"), "off", F.col("unit").alias("section"), "title")
+    hits = search.search(spark, _kept(spark, folder, "sources", docs, "full"), docs, "load posting manifest", k=8, parts=parts).hits
+    return hits.select("key", "section", "first_line", "last_line", "score")
+
+
 def near_terms(spark, folder):
     return search.near_terms(words_index(spark, folder), ["glosary", "compilor", "bibliografy"])
 
@@ -265,11 +336,11 @@ def read_slice_budget(spark, folder):
 
 
 def outline(spark, folder):
-    return reading.headings(notes(spark, folder).select(F.col("path").alias("key"), "text"))
+    return reading.headings(star.notes(spark, folder).select(F.col("path").alias("key"), "text"))
 
 
 def section_ends(spark, folder):
-    return reading.with_ends(outline(spark, folder))
+    return reading.with_ends(outline(spark, folder)).withColumn("end_off", F.coalesce("end_off", F.lit(-1)))
 
 
 def context_search(spark, folder):
@@ -289,20 +360,20 @@ def clean_tags(spark, folder):
 
 
 def clean_bodies(spark, folder):
-    return notes(spark, folder).where("text is not null").select("path", prose.clean_body(F.col("text"), fences=True).alias("body"))
+    body = prose.clean_body(F.col("text"), fences=True)
+    return star.described(spark, folder).select("key", F.trim(F.regexp_replace(body, r"\s+", " ")).alias("body"))
 
 
 def front_properties(spark, folder):
-    return prose.front_properties(notes(spark, folder).select(F.col("path").alias("key"), "text"))
+    return prose.front_properties(star.described(spark, folder))
 
 
 def segments(spark, folder):
-    return prose.segmented(notes(spark, folder).select(F.col("path").alias("key"), "text"), 2000)
+    return prose.segmented(star.sectioned(spark, folder), 230)
 
 
 def html_to_markdown(spark, folder):
-    made = convert.converted(notes(spark, folder).where(F.col("text").rlike("(?i)<html")).select(F.concat("path", F.lit(".html")).alias("path"), F.encode("text", "UTF-8").alias("content")))
-    return made.select("path", "markdown", "reason")
+    return convert.converted(star.pages(spark, folder)).select("path", "markdown", "reason")
 
 
 # --- graphs ---------------------------------------------------------------------------------------------------------
@@ -314,13 +385,17 @@ def wikilink_targets(spark, folder):
 
 
 def _graph(spark, folder):
-    own = notes(spark, folder).where("text is not null")
+    own = star.notes(spark, folder)
     return own, links.resolve(links.extract(own), own)
 
 
 def link_graph(spark, folder):
-    own, resolved = _graph(spark, folder)
-    return links.edges(resolved)
+    return links.edges(_graph(spark, folder)[1])
+
+
+def graph_reach(spark, folder):
+    start = spark.createDataFrame([("regions/ASIA.md",)], "path string")
+    return links.reach(link_graph(spark, folder), start, 2)
 
 
 def unresolved_links(spark, folder):
@@ -342,16 +417,16 @@ def note_lint(spark, folder):
 
 
 def code_symbols(spark, folder):
-    return codegraph.symbols(codegraph.skeletons(sources(spark, folder))).drop("decorators")
+    return codegraph.symbols(codegraph.skeletons(star.sources(spark, folder))).drop("decorators")
 
 
 def code_units(spark, folder):
-    s = sources(spark, folder)
+    s = star.sources(spark, folder)
     return codegraph.units(s, codegraph.skeletons(s)).select("path", "off", "title", F.length("unit").alias("n_chars"))
 
 
 def _code(spark, folder):
-    s = sources(spark, folder)
+    s = star.sources(spark, folder)
     found = codegraph.skeletons(s)
     return s, found, codegraph.import_edges(found, s)
 
@@ -370,7 +445,20 @@ def call_edges(spark, folder):
 
 
 def class_hierarchy(spark, folder):
-    return codegraph.hierarchy(codegraph.skeletons(sources(spark, folder)))
+    return codegraph.hierarchy(codegraph.skeletons(star.sources(spark, folder)))
+
+
+def skeleton_changes(spark, folder):
+    """Files before suppliers came and a function of each region took no argument, against the files now."""
+    now = star.sources(spark, folder)
+    before = now.where(~F.startswith("path", F.lit("geo/suppliers/"))).withColumn("text", F.regexp_replace("text", r"def open_(\w+)\(\)", r"def open_$1(old)"))
+    return codegraph.skeleton_diff(codegraph.skeletons(before), codegraph.skeletons(now))
+
+
+def source_skeletons(spark, folder):
+    """What the given source files declare, a row a file."""
+    found = codegraph.skeletons(sources(spark, folder))
+    return found.select("path", "language", "parse_error", F.size("symbols").alias("symbols"), F.size("imports").alias("imports"), F.size("calls").alias("calls"))
 
 
 def innermost_symbols(spark, folder):
@@ -413,10 +501,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokenize_words, postings, doc_freq_idf, bm25_topk, bm25_matched_terms, coverage, terms_absent, terms_absent_in_scope, exclude_paging, unseen_count, query_groups_rrf, rrf_hybrid,
-        section_split, section_bm25_pool, per_doc_cap, hit_lines, content_version, version_guard, search_hits, near_terms, cosine_topk, int8_quantize, dense_rank, files_status, scope_counts,
+        section_split, section_bm25_pool, per_doc_cap, hit_lines, content_version, version_guard, search_hits, search_sections, search_signals, search_documents, search_code, index_build, function_words, near_terms, cosine_topk, int8_quantize, dense_rank, files_status, scope_counts,
         inventory_counts, index_changes, since_filter, folder_scope, latest_notes, read_slice_budget, outline, section_ends, context_search, language_detect, clean_tags, clean_bodies,
-        front_properties, segments, html_to_markdown, wikilink_targets, link_graph, unresolved_links, orphans, link_degrees, note_lint, code_symbols, code_units, import_edges, fan_in, call_edges,
-        class_hierarchy, innermost_symbols, ndcg_mrr_recall, windowed_activity, user_sessions, record_drift,
+        front_properties, segments, html_to_markdown, wikilink_targets, link_graph, graph_reach, unresolved_links, orphans, link_degrees, note_lint, code_symbols, code_units, import_edges, fan_in, call_edges,
+        class_hierarchy, skeleton_changes, source_skeletons, innermost_symbols, ndcg_mrr_recall, windowed_activity, user_sessions, record_drift,
     )
 }
 
@@ -435,7 +523,26 @@ def _language_sql() -> str:
     return rf"WITH d AS (SELECT doc_id AS key, list_transform(regexp_extract_all(coalesce(text, ''), '\p{{L}}+'), lambda x: lower(x)) AS w FROM documents) SELECT key, list_max([{counts}]).lang AS detected FROM d"
 
 
+SECTIONS_SQL = f"""WITH {NOTES_SQL}, {WORD_SQL.replace("FROM documents)", "FROM nn WHERE text IS NOT NULL)").replace("doc_id AS key, unnest", "path AS key, unnest").replace("d.doc_id AS key", "d.path AS key").replace("FROM documents d LEFT JOIN t ON t.key = d.doc_id GROUP BY d.doc_id", "FROM nn d LEFT JOIN t ON t.key = d.path WHERE d.text IS NOT NULL GROUP BY d.path")}, {ranking_sql('a', TERMS)},
+    mass AS (SELECT coalesce(max(m), 1) AS m FROM (SELECT sum(idf) + (SELECT {len(TERMS)} - count(*) FROM ia) * ln(1 + (n + 0.5) / 0.5) AS m FROM ia, st GROUP BY n)),
+    cv AS (SELECT r.key, any_value(r.score) AS score, any_value(r.matched) AS matched, sum(idf) / any_value(m) AS coverage FROM (SELECT key, score, matched, unnest(matched) AS term FROM ra) r JOIN ia ON ia.term = r.term, mass GROUP BY r.key),
+    pool AS (SELECT *, row_number() OVER (ORDER BY score DESC, key) AS rank FROM cv ORDER BY score DESC, key LIMIT 24),
+    x AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM nn WHERE path IN (SELECT key FROM pool)),
+    z AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{{1,4}} ') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i) AS part, coalesce(sum(length(line) + 1) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM x),
+    sec AS (SELECT path AS key, CAST(min(off) AS INT) AS off, string_agg(line, chr(10) ORDER BY i) AS section, min(i) AS first_line, max(i) FILTER (regexp_matches(line, '\\S')) AS last_line FROM z GROUP BY path, part HAVING max(length(regexp_replace(line, '\\s', '', 'g'))) > 0),
+    tk AS (SELECT key, off, list_filter(list_transform(regexp_extract_all(section, '[\\p{{L}}\\p{{N}}]+'), lambda v: strip_accents(lower(v))), lambda v: length(v) >= 2 AND NOT list_contains(stops, v)) AS toks FROM sec, (SELECT list_transform(regexp_extract_all('{STOPS_SQL}', '[^\\s]+'), lambda u: strip_accents(u)) AS stops)),
+    av AS (SELECT greatest(avg(len(toks)), 1e-9) AS a FROM tk), e AS (SELECT key, off, len(toks) AS dl, unnest(toks) AS term FROM tk),
+    f AS (SELECT key, off, term, count(*) AS tf, any_value(dl) AS dl FROM e GROUP BY key, off, term),
+    sc AS (SELECT key, off, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score, list_sort(list(f.term)) AS matched, sum(idf) / any_value(m) AS coverage FROM f JOIN ia ON ia.term = f.term, av, mass GROUP BY key, off),
+    h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, off) AS rn FROM sc) WHERE rn <= 2 ORDER BY score DESC, key, off LIMIT 8)"""
+
 ORACLE_SQL = {
+    **star.ORACLE_SQL,
+    "search_sections": SECTIONS_SQL + " SELECT h.key, CASE WHEN starts_with(section, '#') THEN trim(regexp_replace(string_split(section, chr(10))[1], '^#+', '')) ELSE '' END AS section, h.off, CAST(first_line AS INT) AS first_line, CAST(last_line AS INT) AS last_line, round(score, 2) AS score, array_to_string(matched, ' ') AS matched_terms, round(coverage, 2) AS coverage FROM h JOIN sec ON sec.key = h.key AND sec.off = h.off",
+    "search_documents": SECTIONS_SQL + " SELECT key, round(score, 2) AS score, array_to_string(matched, ' ') AS matched_terms, round(coverage, 2) AS coverage, CAST(rank AS INT) AS rank FROM pool WHERE rank <= 8",
+    "search_signals": SECTIONS_SQL + f", seen AS (SELECT DISTINCT key FROM h), bar AS (SELECT min(coverage) AS least FROM cv WHERE key IN (SELECT key FROM seen)) SELECT (SELECT count(*) FROM cv) AS candidates, (SELECT count(*) FROM cv, bar WHERE key NOT IN (SELECT key FROM seen) AND coverage >= least - 1e-12) AS unseen, (SELECT CAST(n AS BIGINT) FROM st) AS docs, (SELECT coalesce(string_agg(term, ' ' ORDER BY term), '') FROM (SELECT unnest([{', '.join(repr(x) for x in TERMS)}]) AS term EXCEPT SELECT term FROM ia)) AS absent",
+    "index_build": f"WITH {WORD_SQL} SELECT key, term, tf FROM t WHERE key IN (SELECT doc_id FROM documents WHERE text IS NOT NULL)",
+    "function_words": f"SELECT DISTINCT strip_accents(w) AS word FROM (SELECT unnest(regexp_extract_all('{STOPS_SQL}', '[^\\s]+')) AS w)",
     "tokenize_words": f"WITH {WORD_SQL} SELECT key, CAST(sum(tf) AS BIGINT) AS n_tokens, count(*) AS n_terms FROM t GROUP BY key",
     "postings": f"WITH {WORD_SQL} SELECT key, term, tf FROM t",
     "doc_freq_idf": f"WITH {WORD_SQL} SELECT term, count(*) AS df, round(ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t, st GROUP BY term, n",
@@ -455,7 +562,7 @@ ORACLE_SQL = {
     "section_bm25_pool": ONE_SQL + rf""", {LINES_SQL.replace("ln AS", "lines AS")}, pool AS (SELECT key FROM ra ORDER BY score DESC, key LIMIT 10),
         po AS (SELECT key, content, coalesce(sum(length(content) + 1) OVER (PARTITION BY key ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM lines WHERE key IN (SELECT key FROM pool)),
         sw AS (SELECT key, off, unnest(list_transform(regexp_extract_all(content, '[\p{{L}}\p{{N}}]+'), lambda x: strip_accents(lower(x)))) AS term FROM po WHERE content <> ''),
-        sk AS (SELECT * FROM sw WHERE length(term) >= 2 AND term NOT IN ({QUOTED})),
+        sk AS (SELECT * FROM sw WHERE length(term) >= 2 AND term NOT IN {STOPPED}),
         sl AS (SELECT key, off, count(*) AS dl FROM sk GROUP BY key, off), sa AS (SELECT avg(dl) AS a FROM sl),
         sc AS (SELECT key, off, term, count(*) AS tf FROM sk GROUP BY key, off, term)
         SELECT sc.key, CAST(sc.off AS INT) AS off, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))), 6) AS score FROM sc JOIN ia ON ia.term = sc.term JOIN sl ON sl.key = sc.key AND sl.off = sc.off, sa GROUP BY sc.key, sc.off""",
