@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.functions.text import stem_of
+from fathomline.functions.text import PROFILES, stem_of
+from fathomline.operators.index import sections_of
 
 UNIT_CHARS, LEAST_TOKENS = 6000, 3
 
@@ -79,8 +80,25 @@ def hashed_embedding(texts: list[str], dim: int = 64) -> np.ndarray:
     return np.divide(out, norms, out=out, where=norms > 0)
 
 
+def section_units(corpus: DataFrame, profile: str = "full") -> DataFrame:
+    """(key, off, mtime, unit) of a corpus (key, text, mtime), keys being paths: its heading sections with at least three
+    tokens. A bare heading is no unit."""
+    found = sections_of(corpus).where(F.size(PROFILES[profile](F.col("section"))) >= LEAST_TOKENS)
+    return found.join(corpus.select("key", "mtime"), "key").select("key", "off", "mtime", unit_text(F.col("key"), F.col("title"), F.col("section")).alias("unit"))
+
+
+def state(vectors: DataFrame | None, live: DataFrame) -> str:
+    """off without an embedder's vectors, no_vectors if none is of a present document, stale if some document's is
+    missing or old, else ready."""
+    if vectors is None:
+        return "off"
+    have = live.select("key", "mtime").distinct().join(vectors.select("key", "mtime").distinct().withColumn("there", F.lit(1)), ["key", "mtime"], "left")
+    n = have.agg(F.count("*").alias("all"), F.count("there").alias("there")).first()
+    return "no_vectors" if not n["there"] else "stale" if n["there"] < n["all"] else "ready"
+
+
 def embed(units: DataFrame, embedder: Callable[[list[str]], np.ndarray] = hashed_embedding, batch: int = 64) -> DataFrame:
-    """(key, off, mtime, codes, scale) of units (key, off, mtime, unit) with at least three tokens, a batch at a time."""
+    """(key, off, mtime, codes, scale) of units (key, off, mtime, unit), a batch at a time; section_units() leaves out those with too little text."""
     kinds = dict(units.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,3 +193,44 @@ def doctor(checks: DataFrame) -> DataFrame:
     level = F.when(F.col("outcome") == "fail", 2).when(F.col("outcome") == "warn", 1).otherwise(0)
     n = lambda s: F.count(F.when(F.col("outcome") == s, 1)).alias(s)
     return checks.agg(F.max(level).alias("w"), n("ok"), n("warn"), n("fail")).select(F.element_at(F.array(F.lit("ok"), F.lit("warn"), F.lit("fail")), F.coalesce("w", F.lit(0)) + 1).alias("verdict"), "ok", "warn", "fail")
+
+
+# --- paths that no search shows ----------------------------------------------------------------------------------------
+
+
+def is_source_leaf(path: Column, written: str = "", leaves: str = "sources") -> Column:
+    """Verbatim originals: what lies under the leaves' folder of the root, or of the folder that is written to."""
+    inside = F.ltrim(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("/"))
+    roots = [leaves, *([f"{written.strip('/')}/{leaves}"] if written.strip("/") else [])]
+    return reduce(lambda a, b: a | b, [F.startswith(inside, F.lit(r + "/")) for r in roots])
+
+
+def is_inbox(path: Column, written: str = "", inbox: str = "Inbox") -> Column:
+    """Staging, never written to or merged into: any inbox folder, letter case apart."""
+    inside = F.lower(F.ltrim(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("/")))
+    roots = {inbox, "Inbox", *([f"{written.strip('/')}/{inbox}"] if written.strip("/") else [])}
+    return reduce(lambda a, b: a | b, [F.startswith(inside, F.lit(r.strip("/").lower() + "/")) for r in sorted(roots) if r.strip("/")])
+
+
+def is_artifact(path: Column, stems: tuple[str, ...] = ("log", "GRAPH_REPORT")) -> Column:
+    """Files that earlier exports left at the root."""
+    stem = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"\.md$", "")
+    return stem.isin(*stems)
+
+
+def as_note(path: str) -> str:
+    """A contained path with the ending of a note."""
+    path = contained(path)
+    return path if path.endswith(".md") else path + ".md"
+
+
+def code_root(vault: str, repositories: list[str], is_vault: bool) -> tuple[str | None, str | None]:
+    """(root, warning): the innermost repository folder that holds the vault. A note vault within a repository of
+    something else has none, with the reason: its code is never taken for the vault's."""
+    holding = [r.rstrip("/") for r in repositories if f"{vault.rstrip('/')}/".startswith(r.rstrip("/") + "/")]
+    if not holding:
+        return None, None
+    root = max(holding, key=len)
+    if is_vault and root != vault.rstrip("/"):
+        return None, f"{vault} lies in the repository {root} of something else"
+    return root, None

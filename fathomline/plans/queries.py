@@ -280,6 +280,12 @@ def int8_quantize(spark, folder):
     return q.select("vec_id", F.array_join(F.col("q.codes").cast("array<string>"), " ").alias("codes"), F.round(F.col("q.scale").cast("double"), 6).alias("scale"))
 
 
+def embed_units(spark, folder):
+    """What is embedded of the notes: sections with three tokens and more, with stem and title before."""
+    found = dense.section_units(_note_corpus(spark, folder), "words")
+    return found.select("key", "off", F.length("unit").alias("n_chars"))
+
+
 def dense_rank(spark, folder):
     """The int8 path: scores in Arrow batches, best section of each document."""
     e = table(prepare(spark), folder, "embeddings")
@@ -311,6 +317,14 @@ def inventory_counts(spark, folder):
     return files_status(spark, folder).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def hidden_paths(spark, folder):
+    """Paths that no search shows: originals under the folder that is written to, staging, exports at the root."""
+    d = table(prepare(spark), folder, "documents").select("doc_id", F.concat(F.element_at(F.array(F.lit(""), F.lit("sources/"), F.lit("INBOX/"), F.lit("Adr/Sources/"), F.lit("adr/sources/")), (F.col("doc_id") % 5 + 1).cast("int")), "path").alias("path"))
+    path = F.col("path")
+    kinds = (F.when(files.is_source_leaf(path, "adr"), "source"), F.when(files.is_inbox(path, "adr"), "inbox"), F.when(files.is_artifact(path), "artifact"))
+    return d.select("doc_id", F.coalesce(*kinds).alias("kind")).where("kind is not null")
+
+
 def index_changes(spark, folder):
     """What a refresh would do: live documents against stamps of those read in before a day."""
     d = table(prepare(spark), folder, "documents")
@@ -368,6 +382,10 @@ def front_properties(spark, folder):
     return prose.front_properties(star.described(spark, folder))
 
 
+def alias_index(spark, folder):
+    return prose.alias_index(star.described(spark, folder).select(F.concat(F.lit("parts/p"), "key", F.lit(".md")).alias("path"), "text"))
+
+
 def segments(spark, folder):
     return prose.segmented(star.sectioned(spark, folder), 230)
 
@@ -501,9 +519,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokenize_words, postings, doc_freq_idf, bm25_topk, bm25_matched_terms, coverage, terms_absent, terms_absent_in_scope, exclude_paging, unseen_count, query_groups_rrf, rrf_hybrid,
-        section_split, section_bm25_pool, per_doc_cap, hit_lines, content_version, version_guard, search_hits, search_sections, search_signals, search_documents, search_code, index_build, function_words, near_terms, cosine_topk, int8_quantize, dense_rank, files_status, scope_counts,
+        section_split, section_bm25_pool, per_doc_cap, hit_lines, content_version, version_guard, search_hits, search_sections, search_signals, search_documents, search_code, index_build, function_words, near_terms, cosine_topk, int8_quantize, embed_units, dense_rank, files_status, hidden_paths, scope_counts,
         inventory_counts, index_changes, since_filter, folder_scope, latest_notes, read_slice_budget, outline, section_ends, context_search, language_detect, clean_tags, clean_bodies,
-        front_properties, segments, html_to_markdown, wikilink_targets, link_graph, graph_reach, unresolved_links, orphans, link_degrees, note_lint, code_symbols, code_units, import_edges, fan_in, call_edges,
+        front_properties, alias_index, segments, html_to_markdown, wikilink_targets, link_graph, graph_reach, unresolved_links, orphans, link_degrees, note_lint, code_symbols, code_units, import_edges, fan_in, call_edges,
         class_hierarchy, skeleton_changes, source_skeletons, innermost_symbols, ndcg_mrr_recall, windowed_activity, user_sessions, record_drift,
     )
 }
@@ -529,7 +547,7 @@ SECTIONS_SQL = f"""WITH {NOTES_SQL}, {WORD_SQL.replace("FROM documents)", "FROM
     pool AS (SELECT *, row_number() OVER (ORDER BY score DESC, key) AS rank FROM cv ORDER BY score DESC, key LIMIT 24),
     x AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM nn WHERE path IN (SELECT key FROM pool)),
     z AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{{1,4}} ') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i) AS part, coalesce(sum(length(line) + 1) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM x),
-    sec AS (SELECT path AS key, CAST(min(off) AS INT) AS off, string_agg(line, chr(10) ORDER BY i) AS section, min(i) AS first_line, max(i) FILTER (regexp_matches(line, '\\S')) AS last_line FROM z GROUP BY path, part HAVING max(length(regexp_replace(line, '\\s', '', 'g'))) > 0),
+    sec AS (SELECT path AS key, CAST(min(off) AS INT) AS off, string_agg(line, chr(10) ORDER BY i) AS section, min(i) AS first_line, max(i) FILTER (regexp_matches(line, '\\S')) AS last_line, max(i) AS last_i FROM z GROUP BY path, part HAVING max(length(regexp_replace(line, '\\s', '', 'g'))) > 0),
     tk AS (SELECT key, off, list_filter(list_transform(regexp_extract_all(section, '[\\p{{L}}\\p{{N}}]+'), lambda v: strip_accents(lower(v))), lambda v: length(v) >= 2 AND NOT list_contains(stops, v)) AS toks FROM sec, (SELECT list_transform(regexp_extract_all('{STOPS_SQL}', '[^\\s]+'), lambda u: strip_accents(u)) AS stops)),
     av AS (SELECT greatest(avg(len(toks)), 1e-9) AS a FROM tk), e AS (SELECT key, off, len(toks) AS dl, unnest(toks) AS term FROM tk),
     f AS (SELECT key, off, term, count(*) AS tf, any_value(dl) AS dl FROM e GROUP BY key, off, term),
@@ -538,6 +556,9 @@ SECTIONS_SQL = f"""WITH {NOTES_SQL}, {WORD_SQL.replace("FROM documents)", "FROM
 
 ORACLE_SQL = {
     **star.ORACLE_SQL,
+    "hidden_paths": r"""WITH p AS (SELECT doc_id, ['', 'sources/', 'INBOX/', 'Adr/Sources/', 'adr/sources/'][doc_id % 5 + 1] || path AS p FROM documents)
+        SELECT * FROM (SELECT doc_id, CASE WHEN regexp_matches(p, '^(adr/)?sources/') THEN 'source' WHEN regexp_matches(lower(p), '^(adr/)?inbox/') THEN 'inbox' WHEN regexp_matches(p, '^(log|GRAPH_REPORT)(\.md)?$') THEN 'artifact' END AS kind FROM p) WHERE kind IS NOT NULL""",
+    "embed_units": SECTIONS_SQL.replace("WHERE path IN (SELECT key FROM pool)", "WHERE text IS NOT NULL") + r" SELECT tk.key, tk.off, CAST(length(regexp_replace(regexp_extract(tk.key, '([^/]*)$', 1), '(.)\.[^.]*$', '\1')) + 4 + length(CASE WHEN starts_with(section, '#') THEN trim(regexp_replace(string_split(section, chr(10))[1], '^#+', '')) ELSE '' END) + least(6000, length(section) + CASE WHEN last_i < most THEN 1 ELSE 0 END) AS INT) AS n_chars FROM tk JOIN sec ON sec.key = tk.key AND sec.off = tk.off JOIN (SELECT path, max(i) AS most FROM x GROUP BY path) q ON q.path = tk.key WHERE len(toks) >= 3",
     "search_sections": SECTIONS_SQL + " SELECT h.key, CASE WHEN starts_with(section, '#') THEN trim(regexp_replace(string_split(section, chr(10))[1], '^#+', '')) ELSE '' END AS section, h.off, CAST(first_line AS INT) AS first_line, CAST(last_line AS INT) AS last_line, round(score, 2) AS score, array_to_string(matched, ' ') AS matched_terms, round(coverage, 2) AS coverage FROM h JOIN sec ON sec.key = h.key AND sec.off = h.off",
     "search_documents": SECTIONS_SQL + " SELECT key, round(score, 2) AS score, array_to_string(matched, ' ') AS matched_terms, round(coverage, 2) AS coverage, CAST(rank AS INT) AS rank FROM pool WHERE rank <= 8",
     "search_signals": SECTIONS_SQL + f", seen AS (SELECT DISTINCT key FROM h), bar AS (SELECT min(coverage) AS least FROM cv WHERE key IN (SELECT key FROM seen)) SELECT (SELECT count(*) FROM cv) AS candidates, (SELECT count(*) FROM cv, bar WHERE key NOT IN (SELECT key FROM seen) AND coverage >= least - 1e-12) AS unseen, (SELECT CAST(n AS BIGINT) FROM st) AS docs, (SELECT coalesce(string_agg(term, ' ' ORDER BY term), '') FROM (SELECT unnest([{', '.join(repr(x) for x in TERMS)}]) AS term EXCEPT SELECT term FROM ia)) AS absent",

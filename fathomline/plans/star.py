@@ -39,7 +39,7 @@ def described(spark: SparkSession, folder: str) -> DataFrame:
     """(key, text): parts as notes with properties, links, formulas and addresses."""
     p = table(prepare(spark), folder, "part")
     text = F.concat(
-        F.lit("---\nname: "), "p_name", F.lit("\ntags:\n- "), "p_brand", F.lit("\n- part\nsize: "), "p_size",
+        F.lit("---\nname: "), "p_name", F.lit("\ntags:\n- "), "p_brand", F.lit("\n- part\naliases: part "), F.col("p_partkey").cast("string"), F.lit(", "), "p_type", F.lit("\nsize: "), "p_size",
         F.lit("\n---\nMade by [["), "p_brand", F.lit("|the maker]] of [type](t/"), F.col("p_partkey").cast("string"), F.lit(") with $x_1$ at https://example.org/a?b `code` end.\n"),
     )
     return p.select(F.col("p_partkey").cast("string").alias("key"), text.alias("text"))
@@ -130,7 +130,8 @@ ORACLE_SQL = {
         UNION ALL SELECT path, '~', kind || ' ' || name FROM symbols_ WHERE path LIKE 'geo/regions/%' AND kind = 'function'""",
     "html_to_markdown": f"""WITH {N_SQL} SELECT n_name || '.html' AS path, '# ' || n_name || ' & more' || chr(10) || chr(10) || 'in ' || r_name || ' there' || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10) || chr(10)
         || 'a | ' || n_nationkey || chr(10) || 'b | c' || chr(10) || chr(10) || '```' || chr(10) || 'x' || chr(10) || '  y' || chr(10) || '```' || chr(10) || chr(10) || '[image: map]' AS markdown, NULL::VARCHAR AS reason FROM n""",
-    "front_properties": "SELECT p_partkey::VARCHAR AS key, unnest(['name', 'tags', 'size']) AS name, unnest([p_name, p_brand || ', part', p_size::VARCHAR]) AS value FROM part",
+    "front_properties": "SELECT p_partkey::VARCHAR AS key, unnest(['name', 'tags', 'aliases', 'size']) AS name, unnest([p_name, p_brand || ', part', 'part ' || p_partkey || ', ' || p_type, p_size::VARCHAR]) AS value FROM part",
+    "alias_index": "SELECT 'p' || p_partkey AS title, unnest(['part ' || p_partkey, p_type]) AS alias FROM part",
     "clean_bodies": "SELECT p_partkey::VARCHAR AS key, 'Made by ' || replace(p_brand, '#', ' ') || ' the maker of type t/' || p_partkey || ' with at end.' AS body FROM part",
     "segments": """WITH s AS (SELECT s_suppkey::VARCHAR AS key, s_name, 'intro' || chr(10) || chr(10) AS intro, '# ' || s_name || chr(10) || chr(10) AS head, 'About ' || s_name || ' there is much to say.' AS line, chr(10) || chr(10) AS gap FROM supplier)
         SELECT key, CAST(1 AS INT) AS n, intro || head || line || gap || line || gap || line || gap || line || gap AS segment, '' AS kind FROM s

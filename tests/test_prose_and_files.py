@@ -189,3 +189,25 @@ def test_write_boundary_and_vectors(spark, tmp_path):
     v = spark.createDataFrame([("a", 0, 1.0, [1, 2], 0.5)], "key string, off int, mtime double, codes array<tinyint>, scale float")
     dense.save(v, str(tmp_path / "v"), model="m1")
     assert dense.load(spark, str(tmp_path / "v"), model="m1").count() == 1 and dense.load(spark, str(tmp_path / "v"), model="m2").count() == 0
+
+
+def test_hidden_paths_and_code_root(spark):
+    paths = spark.createDataFrame([(p,) for p in ("sources/a.md", "w/sources/b.md", "W/sources/c.md", "/sources/d.md", "inbox/e.md", "w\\Inbox\\f.md", "log.md", "x/log.md", "notes/g.md")], "path string")
+    col = F.col("path")
+    got = {r["path"]: (r["s"], r["i"], r["a"]) for r in paths.select("path", files.is_source_leaf(col, "w").alias("s"), files.is_inbox(col, "w").alias("i"), files.is_artifact(col).alias("a")).collect()}
+    assert [p for p, x in got.items() if x[0]] == ["sources/a.md", "w/sources/b.md", "/sources/d.md"]
+    assert [p for p, x in got.items() if x[1]] == ["inbox/e.md", "w\\Inbox\\f.md"] and [p for p, x in got.items() if x[2]] == ["log.md"]
+    assert files.as_note("a/./b") == "a/b.md" and files.as_note("a.md") == "a.md"
+    assert files.code_root("/r/docs", ["/r", "/r/other"], False) == ("/r", None) and files.code_root("/r", ["/r"], True) == ("/r", None)
+    assert files.code_root("/r/docs", ["/r"], True)[0] is None and files.code_root("/x", ["/r"], False) == (None, None)
+
+
+def test_units_and_state_of_vectors(spark):
+    from fathomline.operators import dense
+
+    docs = spark.createDataFrame([("a/n.md", "# Bare\n\n## Three\n\nplain words follow\n", 1.0)], "key string, text string, mtime double")
+    units = dense.section_units(docs)
+    assert [r["unit"] for r in units.collect()] == ["n › Three\n## Three\n\nplain words follow\n"]
+    made = dense.embed(units)
+    assert dense.state(None, docs) == "off" and dense.state(made, docs) == "ready"
+    assert dense.state(made.limit(0), docs) == "no_vectors" and dense.state(made, docs.unionByName(docs.withColumn("key", F.lit("b.md")))) == "stale"
