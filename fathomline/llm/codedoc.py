@@ -90,31 +90,35 @@ def tidy(doc: str) -> str:
 SPANS = "path string, kind string, first int, last int, name string, header string, body string, stop int, code string"
 
 
-def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for path, text in zip(batch["path"], batch["text"], strict=True):
-            text, lang = normalise(text), language(path)
-            lexed = lex(text, lang)
-            lines = text.split("\n")
-            for first, last, body in comment_blocks(text, lexed[1], lang):
-                out.append((path, "comment", first, last, None, None, body, None, None))
-            for f in declarations(text, lang, lexed):
-                out.append((path, "function", f.line, f.line, f.name, f.header, None, f.end_line, "\n".join(lines[f.line - 1 : f.end_line])))
-                if f.doc is not None:
-                    out.append((path, "docstring", f.line, f.line, None, None, f.doc, None, None))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SPANS.split(", ")]).astype({"stop": "Int32"})
-
-
-def documented_functions(sources: DataFrame, *, least: int = 2) -> DataFrame:
+def _spans(code: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                text, lang = normalise(text), language(path)
+                lexed = lex(text, lang)
+                lines = text.split("\n")
+                for first, last, body in comment_blocks(text, lexed[1], lang):
+                    out.append((path, "comment", first, last, None, None, body, None, None))
+                for f in declarations(text, lang, lexed):
+                    out.append((path, "function", f.line, f.line, f.name, f.header, None, f.end_line, "\n".join(lines[f.line - 1 : f.end_line]) if code else None))
+                    if f.doc is not None:
+                        out.append((path, "docstring", f.line, f.line, None, None, f.doc, None, None))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SPANS.split(", ")]).astype({"stop": "Int32"})
+
+    return run
+
+
+def documented_functions(sources: DataFrame, *, least: int = 2, code: bool = True) -> DataFrame:
     """(path, name, line, end_line, signature, documentation, code): functions and methods with documentation that says something.
 
     sources has path, text and mtime; other columns are ignored. A repeated path is one file (the latest row). Null and
     empty texts and null paths give nothing, an empty table no rows; files in unknown languages are read as brace
     languages; a file that doesn't parse gives what can be told apart. `line` is the declaration's first line with its
-    decorators or annotations. Prototypes, interface and abstract methods count where they end in ';'. Of a docstring and a comment above, the docstring is taken if it says something.
+    decorators or annotations. Prototypes, interface and abstract methods count where they end in ';'. Of a docstring and a comment above, the docstring is taken if it says something. Without `code` that
+    column is null, and the functions' texts aren't shuffled.
     """
-    spans = latest(sources, "path", "text").mapInPandas(_spans, SPANS)
+    spans = latest(sources, "path", "text").mapInPandas(_spans(code), SPANS)
     # as-of join: the last comment that ends above the function; one that ends there and is not adjacent is rejected
     order = Window.partitionBy("path").orderBy("last", F.when(F.col("kind") == "function", 0).otherwise(1))
     above = F.last(F.when(F.col("kind") == "comment", F.struct("last", "body")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -55,7 +55,7 @@ def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p6_pairs(spark, folder).select("path", "name", "line")
+    return codedoc.documented_functions(table(prepare(spark), folder, "sources"), code=False).select("path", "name", "line")
 
 
 def p7_reasons(spark: SparkSession, folder: str) -> DataFrame:
