@@ -119,7 +119,7 @@ class Verdict(NamedTuple):
 class Judge:
     """The language of a sentence: smallest compressed size, letter case apart; ties go to the first language."""
 
-    def __init__(self, raw: dict[str, bytes], level: int = 3) -> None:
+    def __init__(self, raw: dict[str, bytes], level: int = -1) -> None:
         self.langs, self.by = list(raw), []
         for data in raw.values():
             d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -174,7 +174,7 @@ def stretches(body: str | None, judge, narrow: float = 0.08) -> list[Stretch]:
 
 
 def language_stretches(
-    df: DataFrame, *, id_col: str = "id", text_col: str = "body", label_col: str = "lang", per_language: int = 400, dictionary: int = 32768, narrow: float = 0.08
+    df: DataFrame, *, id_col: str = "id", text_col: str = "body", label_col: str = "lang", per_language: int = 400, sample_chars: int = 20_000, dictionary: int = 32768, narrow: float = 0.08
 ) -> DataFrame:
     """(id, segment_no, found_lang, confidence, sentences, labelled, is_case): a row for each stretch of each record.
 
@@ -184,13 +184,13 @@ def language_stretches(
     null id; an empty table gives none.
 
     The dictionaries are fitted on at most per_language labelled records of each language, taken by the hash of their
-    id, whatever the table's size; every record is judged whole.
+    id, and of each at most sample_chars characters, whatever the table's size; every record is judged whole.
     """
     records = latest(df, id_col, text_col, label_col)
     name = F.udf(named, "string")
     asked = df.where(F.col(label_col).isNotNull()).select(label_col).distinct()
     known = asked.withColumn("_l", name(label_col)).where("_l is not null")
-    picked = df.join(known, label_col).where(F.length(text_col) > 40).select("_l", id_col, text_col)
+    picked = df.join(known, label_col).where(F.length(text_col) > 40).select("_l", id_col, F.substring(text_col, 1, sample_chars).alias(text_col))
     first = picked.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64(id_col)))).where(F.col("_n") <= per_language)
     raw = dictionaries([(r["_l"], r[text_col]) for r in first.orderBy("_l", "_n").collect()], dictionary)
     kind = dict(df.dtypes)[id_col]
