@@ -19,11 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.shingle import minhash, shingles
+from fathomline.llm.shingle import band_keys
 from fathomline.llm.tokens import VOCABULARY, encoding
 from fathomline.session import stash
 
 
+WORD = re.compile(r"\w+")
+
+
 def best_fit(sizes: list[int], capacity: int, sources: list[int] | None = None, clusters: list[int] | None = None, banned: dict[int, int] | None = None) -> list[int]:
     """Bin of each item, from 0. sources and clusters give each item's bit sets; banned, of a source's bits, the bits of
     sources that may not be with it. Every size must be at most the capacity."""
@@ -50,11 +53,10 @@ def best_fit(sizes: list[int], capacity: int, sources: list[int] | None = None,
     return out
 
 
-def copies(text: str, bands: int, rows: int) -> list[int]:
-    """Keys that near-copies of a text share: its minhash bands, of a text without words its signs; of a blank one none."""
-    signs = " ".join(text.lower().split())
-    found = minhash(shingles(re.sub(r"[^\w\s]+", " ", signs)), bands, rows)
-    return found or ([xxhash.xxh64_intdigest(signs) - 2**63] if signs else [])
+def copies(texts: list[str], bands: int, rows: int) -> list[list[int]]:
+    """Keys that near-copies of each text share: its minhash bands, of a text without words its signs; of a blank one none."""
+    keys = band_keys([WORD.findall(t.lower()) for t in texts], bands, rows)
+    return [k or ([] if t.isspace() else [xxhash.xxh64_intdigest(" ".join(t.split())) - 2**63]) for k, t in zip(keys, texts, strict=True)]
 
 
 SIZED = "doc_id long, source string, listed boolean, tokens long, bands array<long>"
@@ -66,16 +68,16 @@ def _sized(vocabulary: str, bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(vocabulary)
         for b in batches:
-            tokens = [len(enc.encode_ordinary(t)) for t in b["text"]]
-            keys = [copies(t, bands, rows) for t in b["text"]]
-            yield b[["doc_id", "source", "listed"]].assign(tokens=tokens, bands=keys)
+            texts = b["text"].tolist()
+            tokens = [len(enc.encode_ordinary(t)) for t in texts]
+            yield b[["doc_id", "source", "listed"]].assign(tokens=tokens, bands=copies(texts, bands, rows))
 
     return run
 
 
 def packed(
     documents: DataFrame, limits: DataFrame, *, listed: DataFrame | None = None, exclusive: tuple[tuple[str, str], ...] = (), per_shard: int = 20_000, vocabulary: str = VOCABULARY,
-    bands: int = 20, rows: int = 4,
+    bands: int = 14, rows: int = 3,
 ) -> DataFrame:
     """(item_kind, container, doc_id, part, token_start, token_end, tokens): where each text's tokens lie.
 

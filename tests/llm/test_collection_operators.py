@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from fathomline.llm import handwritten, knn, mix, pack, subject, tokens
+from fathomline.llm import handwritten, knn, mix, pack, shingle, subject, tokens
 
 
 def brute(rows, k=10, least=0.9):
@@ -131,6 +131,25 @@ def test_packed(spark):
     assert pack.packed(df.limit(0), limits).count() == 0 and pack.packed(df, limits.limit(0)).count() == 0
 
 
+def test_band_keys():
+    rng = random.Random(6)
+    texts = [[rng.choice("abcdefgh") for _ in range(n)] for n in (1, 4, 5, 6, 40, 41, 300)] + [[], ["a"] * 50]
+    alone = [shingle.band_keys([t], 6, 2)[0] for t in texts]
+    assert shingle.band_keys(texts, 6, 2) == alone == shingle.band_keys(texts, 6, 2, most=10) and alone[7] == [] and len({tuple(x) for x in alone}) == len(texts)
+    assert alone[8] == shingle.band_keys([["a"] * 5], 6, 2)[0]  # the set of shingles decides
+    at, pairs = collections.Counter(), 400
+    for _ in range(pairs):
+        base = [rng.choice(["x", "y", "z", *map(str, range(300))]) for _ in range(124)]
+        near, far = list(base), list(base)
+        near[60], near[90] = "q", "r"  # 110 of 130 shingles in common
+        for i in range(0, 124, 6):
+            far[i] = f"f{i}"
+        keys = shingle.band_keys([base, near, far], 14, 3)
+        at["near"] += bool({*keys[0]} & {*keys[1]})
+        at["far"] += bool({*keys[0]} & {*keys[2]})
+    assert at["near"] == pairs and at["far"] < 0.05 * pairs
+
+
 def test_near_copies_and_listed_sources_lie_apart(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)]
