@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.code import Span, functions, language, lex, normalise
-from fathomline.llm.shingle import minhash, shingles
+from fathomline.llm.shingle import WORDS, band_keys, shingles
 from fathomline.session import latest, spread, stash
 
 IDENTIFIER = re.compile(r"[^\W\d][\w$]*|\$[\w$]*")
@@ -145,7 +145,7 @@ def _read(bands: int, rows: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out, words = [], []
             for path, text, declared in zip(batch["path"], batch["text"], batch["declared"], strict=True):
                 text, lang = normalise(text), language(path, declared)
                 masked, spans = lexed = lex(text, lang)
@@ -166,13 +166,14 @@ def _read(bands: int, rows: int):
                 assigned = [m[1] for m in ASSIGNED.finditer(masked) if not m[0][:1].isspace() and m[0] == m[0].lstrip()]
                 kinds = [diversity(x) for x in (declared_names, assigned) if len(x) >= 6]
                 top = top_comment(text, spans)
-                hashes = shingles(bare_code(text, spans))
+                words.append(WORDS.findall(bare_code(text, spans)))
                 out.append((
                     path, lang, list(found), list(found.values()), len(code), diversity(code), min(kinds, default=1.0), min(1.0, held / max(1, size)), bool(GENERATED.search(top)),
                     bool(PACKAGES.search(path) or UPSTREAM.search(top)), styles["snake"], styles["camel"], styles["capital"],
-                    xxhash.xxh64_intdigest(hashes.tobytes()) - 2**63 if len(hashes) else None, minhash(hashes, bands, rows) if len(hashes) else [],
+                    xxhash.xxh64_intdigest("\x1f".join(words[-1])) - 2**63 if words[-1] else None,
                 ))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in READ.split(", ")]).astype({"copy": "Int64"})
+            made = pd.DataFrame(out, columns=[c.split()[0] for c in READ.split(", ")][:-1]).astype({"copy": "Int64"})
+            yield made.assign(bands=band_keys(words, bands, rows))
 
     return run
 
