@@ -247,7 +247,7 @@ def similar_pairs(
     probes: int = 4,
     width: float = 2.0,
     budget: float = 1500.0,
-    bucket: int = 4096,
+    bucket: int = 1024,
     block: int = 16384,
     sample: int = 2000,
     seed: int = 11,
