@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.operators.index import global_rank
 from fathomline.operators.links import suffixes
 
 # Endings by language, platform namespaces, endings a script import may leave out, unit sizes.
@@ -380,13 +381,35 @@ def units(sources: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def budgeted(entries: DataFrame, budget: int, used: int = 0) -> DataFrame:
-    """entries (section, n, label, block) with `kept`: taken in order while they fit. Once one doesn't, none after it is
-    kept, so that what is dropped is a suffix."""
-    order = Window.partitionBy().orderBy("n")
+    """entries (section, n, label, block), n from 1, with `kept`: taken in order while they fit. Once one doesn't, none
+    after it is kept, so that what is dropped is a suffix.
+
+    An entry costs a character at least, so only the first `budget` of them are summed in one place, however many files
+    import a hub.
+    """
+    near, far = entries.where(F.col("n") <= budget), entries.where(F.col("n") > budget).withColumn("kept", F.lit(False))
     first = F.row_number().over(Window.partitionBy("section").orderBy("n")) == 1
     cost = F.length("block") + F.when(first, F.length("section") + 6).otherwise(1)
-    total = F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return entries.withColumn("cost", cost).withColumn("kept", F.lit(used) + total <= budget).drop("cost")
+    total = F.sum("cost").over(Window.partitionBy().orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    return near.withColumn("cost", cost).withColumn("kept", F.lit(used) + total <= budget).drop("cost").unionByName(far)
+
+
+IMPORT_LINES = r"(?m)^[ \t]*(?:import\b|from\b|export\b[^\n]*\bfrom\b|#[ \t]*include\b|package\b|[^\n]*\brequire\()[^\n]*$"
+
+
+def _neighbours(text: DataFrame, mine: DataFrame, sources: DataFrame, path: str) -> DataFrame:
+    """(label, o): files that a file imports, and for Java those of its folder that it names, by where their name is first
+    used outside imports; those never used come last."""
+    body = text.select(F.regexp_replace("text", IMPORT_LINES, "").alias("body"))  # one row
+    named = F.regexp_extract(F.regexp_replace("module", '^"|"$', ""), r"([^./]+?)(?:\.(?:h|hpp|hh|js|mjs|ts|tsx|jsx))?$", 1)
+    wanted = mine.where("kind = 'resolved'").select(F.col("value").alias("label"), named.alias("name"), F.lit(True).alias("imported"))
+    if path.lower().endswith(".java"):
+        folder = path.rpartition("/")[0]
+        beside = sources.where(F.endswith("path", F.lit(".java")) & (F.col("path") != path) & (F.regexp_replace("path", r"/?[^/]*$", "") == folder))
+        wanted = wanted.unionByName(beside.select(F.col("path").alias("label"), F.regexp_extract("path", r"([^/]*)\.java$", 1).alias("name"), F.lit(False).alias("imported")))
+    at = F.when(F.col("name") != "", F.regexp_instr("body", F.concat(F.lit(r"\b\Q"), "name", F.lit(r"\E\b")))).otherwise(0)
+    found = wanted.join(F.broadcast(body), F.lit(True)).withColumn("at", at).where("imported or at > 0")
+    return found.groupBy("label").agg(F.min(F.when(F.col("at") > 0, F.col("at"))).alias("first")).select("label", F.coalesce("first", F.lit(2**31 - 1)).cast("int").alias("o"))
 
 
 def code_pack(sources: DataFrame, found: DataFrame, edges: DataFrame, calls: DataFrame, target: str, *, budget: int = 12_000) -> DataFrame:
@@ -405,7 +428,7 @@ def code_pack(sources: DataFrame, found: DataFrame, edges: DataFrame, calls: Dat
     else:
         outline = own.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "signature"))), lambda s: F.concat(s["line"].cast("string"), F.lit(": "), s["signature"])), "\n").alias("o"))
         lines = text.crossJoin(outline).select(F.when(F.length("text") <= budget, F.col("text")).otherwise(F.col("o")).alias("block"))
-    parts = [lines.select(F.lit(0).alias("s"), F.lit("target").alias("section"), F.lit(path).alias("label"), "block")]
+    parts = [lines.select(F.lit(0).alias("s"), F.lit("target").alias("section"), F.lit(path).alias("label"), "block", F.lit(None).cast("int").alias("o"))]
     tree = hierarchy(found)
     up = tree.where(F.col("path") == path).select(F.lit(1).alias("s"), F.lit("hierarchy").alias("section"), F.col("class").alias("label"), F.concat("class", F.lit(" extends "), "base").alias("block"))
     down = tree.where((F.col("base_path") == path) & (F.col("path") != path)).select(F.lit(1).alias("s"), F.lit("hierarchy").alias("section"), F.concat("path", F.lit("#"), "class").alias("label"), F.concat("base", F.lit(" <- "), "path", F.lit("#"), "class").alias("block"))
@@ -414,13 +437,13 @@ def code_pack(sources: DataFrame, found: DataFrame, edges: DataFrame, calls: Dat
         where = F.concat("src", F.lit(":"), F.col("line").cast("string"))
         parts.append(calls.where((F.col("target") == path) & (F.regexp_extract("callee", r"([^.]*)$", 1) == selector.rpartition(".")[2])).select(F.lit(2).alias("s"), F.lit("callers").alias("section"), where.alias("label"), F.concat(where, F.lit(" in "), F.coalesce(F.nullif("caller", F.lit("")), F.lit("<module>"))).alias("block")))
     mine = edges.where(F.col("src") == path)
-    parts.append(mine.where("kind = 'resolved'").select(F.lit(3).alias("s"), F.lit("neighborhood").alias("section"), F.col("value").alias("label"), F.col("value").alias("block")).distinct())
+    parts.append(_neighbours(text, mine, sources, path).select(F.lit(3).alias("s"), F.lit("neighborhood").alias("section"), "label", F.col("label").alias("block"), "o"))
     parts.append(mine.where("kind = 'external'").select(F.lit(4).alias("s"), F.lit("external").alias("section"), F.col("value").alias("label"), F.col("value").alias("block")).distinct())
     parts.append(edges.where((F.col("value") == path) & (F.col("kind") == "resolved")).select(F.lit(5).alias("s"), F.lit("importers").alias("section"), F.col("src").alias("label"), F.col("src").alias("block")).distinct())
     every = parts[0]
     for p in parts[1:]:
-        every = every.unionByName(p)
-    numbered = every.withColumn("n", F.row_number().over(Window.partitionBy().orderBy("s", "label", "block"))).drop("s")
+        every = every.unionByName(p, allowMissingColumns=True)
+    numbered = global_rank(every, ["s", F.asc_nulls_first("o"), "label", "block"], "n").drop("s", "o")
     return budgeted(numbered, budget).select("section", "n", "label", "block", "kept")
 
 

@@ -162,6 +162,32 @@ def refresh(spark: SparkSession, folder: str, corpus: DataFrame, *, rebuild: boo
     raise Busy(f"{folder} is being refreshed by others")
 
 
+def upsert(spark: SparkSession, folder: str, rows: DataFrame, *, profile: str = "full", attempts: int = 5) -> int:
+    """Add or replace the documents of rows (key, name, text, mtime), all others stay; returns the version's number.
+
+    Of several rows of a key the greatest mtime counts, and a row older than what the index holds changes nothing, so a
+    batch that is run again, or comes late, leaves the index as it is.
+    """
+    newest = rows.groupBy("key").agg(F.max_by(F.struct("name", "text", "mtime"), F.struct("mtime", "text")).alias("r")).select("key", "r.*")
+    for _ in range(attempts):
+        meta = _manifest(spark, folder)
+        fresh = newest
+        if meta.get("segments"):
+            have = _state(spark, folder, meta).select("key", F.col("mtime").alias("held"))
+            fresh = newest.join(have, "key", "left").where("held is null or mtime > held").drop("held")
+        fresh = stash(fresh, "index-upsert")
+        if meta.get("segments") and fresh.isEmpty():
+            return meta["newest"]
+        number = meta["newest"] + 1
+        name = f"{number:012d}-{uuid.uuid4().hex[:8]}"
+        _write_segment(spark, f"{folder}/segments/{name}", number, fresh, None, profile)
+        if _publish(spark, folder, number, {"tokenizer": TOKENIZER, "built_at": time.time(), "segments": [*meta.get("segments", []), name]}):
+            return number
+        files, path = shared(spark, f"{folder}/segments/{name}")
+        files.delete(path, True)
+    raise Busy(f"{folder} is being written by others")
+
+
 def _write_segment(spark: SparkSession, place: str, number: int, fresh: DataFrame, gone: DataFrame | None, profile: str) -> None:
     made = postings_of(fresh.where("text is not null"), profile).withColumn("seg", F.lit(number).cast("long"))
     made.repartitionByRange("term").sortWithinPartitions("term", "key").write.parquet(f"{place}/postings")

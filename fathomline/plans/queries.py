@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.text import STOP_WORDS, in_folder, line_at, stem_of, version
-from fathomline.plans import star
 from fathomline.operators import codegraph, convert, dense, evaluate, files, history, index, links, prose, reading, search
 from fathomline.plans import star
 from fathomline.session import latest, prepare, spread, table, work_dir
+from fathomline.sources import pdf
 from fathomline.streaming import refresh
 
 QUESTION = "open question glossary compiler photosynthesis zebra"
@@ -140,16 +140,21 @@ def terms_absent(spark, folder):
 
 
 def terms_absent_in_scope(spark, folder):
-    docs = corpus(spark, folder)
-    known = index.postings_of(docs, "words").where(F.col("term").isin(TERMS))
-    inside = known.join(docs.where(in_folder(F.col("path"), FOLDER)), "key", "left_semi")
-    return known.select("term").distinct().join(inside.select("term"), "term", "left_anti")
+    """Terms that documents hold and those of a folder don't; keys are paths here."""
+    docs = corpus(spark, folder).withColumn("key", F.col("path"))
+    own = _kept(spark, folder, "paths", docs, "words")
+    return spark.createDataFrame([(t,) for t in search.absent_in(own, list(search.Weights.of(own, TERMS).known), FOLDER)], "term string")
 
 
 def exclude_paging(spark, folder):
-    docs = _ranked(spark, folder)[3]
-    shown = search.top(docs, 5).select("key")
-    return search.top(docs.join(shown, "key", "left_anti"), 5).select("key", "rank")
+    """The second page of documents: a search without those of the first."""
+    docs = corpus(spark, folder)
+    own = words_index(spark, folder)
+
+    def page(exclude):
+        return search.search(spark, own, docs, QUESTION, k=5, exclude=exclude, profile="words").documents.where("rank <= 5").select("key", "rank")
+
+    return page(tuple(r["key"] for r in page(()).collect()))
 
 
 def unseen_count(spark, folder):
@@ -394,12 +399,16 @@ def html_to_markdown(spark, folder):
     return convert.converted(star.pages(spark, folder)).select("path", "markdown", "reason")
 
 
+def pdf_pages(spark, folder):
+    return pdf.pages(star.documents(spark, folder)).select("key", "page", "off", "text")
+
+
 # --- graphs ---------------------------------------------------------------------------------------------------------
 
 
 def wikilink_targets(spark, folder):
-    found = F.regexp_extract_all("text", F.lit(r"\[\[([^\]|#]+)"), F.lit(1))
-    return corpus(spark, folder).select("key", F.explode(found).alias("target")).groupBy("target").agg(F.count_distinct("key").alias("documents"), F.count("*").alias("links"))
+    found = links.extract(corpus(spark, folder).select("path", "text")).where("kind = 'note'")
+    return found.groupBy("target").agg(F.count_distinct("src").alias("documents"))
 
 
 def _graph(spark, folder):
@@ -521,7 +530,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tokenize_words, postings, doc_freq_idf, bm25_topk, bm25_matched_terms, coverage, terms_absent, terms_absent_in_scope, exclude_paging, unseen_count, query_groups_rrf, rrf_hybrid,
         section_split, section_bm25_pool, per_doc_cap, hit_lines, content_version, version_guard, search_hits, search_sections, search_signals, search_documents, search_code, index_build, function_words, near_terms, cosine_topk, int8_quantize, embed_units, dense_rank, files_status, hidden_paths, scope_counts,
         inventory_counts, index_changes, since_filter, folder_scope, latest_notes, read_slice_budget, outline, section_ends, context_search, language_detect, clean_tags, clean_bodies,
-        front_properties, alias_index, segments, html_to_markdown, wikilink_targets, link_graph, graph_reach, unresolved_links, orphans, link_degrees, note_lint, code_symbols, code_units, import_edges, fan_in, call_edges,
+        front_properties, alias_index, segments, html_to_markdown, pdf_pages, wikilink_targets, link_graph, graph_reach, unresolved_links, orphans, link_degrees, note_lint, code_symbols, code_units, import_edges, fan_in, call_edges,
         class_hierarchy, skeleton_changes, source_skeletons, innermost_symbols, ndcg_mrr_recall, windowed_activity, user_sessions, record_drift,
     )
 }
@@ -609,7 +618,7 @@ ORACLE_SQL = {
         SELECT m.query, CAST(m.key AS VARCHAR) AS path, CAST(line AS INT) AS line, trim(content) AS snippet, note_matches FROM ln JOIN m ON m.key = ln.key WHERE contains(lower(content), lower(m.query)) QUALIFY row_number() OVER (PARTITION BY m.query, m.key ORDER BY line) <= 20""",
     "language_detect": _language_sql(),
     "clean_tags": r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(regexp_replace(source, '^\d+[.)]\s+', ''))), '[^a-z0-9\s-]', '', 'g'), '[\s_]+', '-', 'g'), '^-+|-+$', '', 'g') AS tag FROM documents WHERE source IS NOT NULL",
-    "wikilink_targets": r"SELECT target, count(DISTINCT doc_id) AS documents, count(*) AS links FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\[\[([^\]|#]+)', 1)) AS target FROM documents) GROUP BY target",
+    "wikilink_targets": r"SELECT target, count(DISTINCT path) AS documents FROM (SELECT path, trim(unnest(regexp_extract_all(text, '\[\[([^\]|#]+)', 1))) AS target FROM documents) WHERE NOT regexp_matches(lower(target), '\.(png|jpg|jpeg|pdf|webp|svg|gif|csv)$') GROUP BY target",
     "innermost_symbols": """WITH s AS (SELECT DISTINCT path, kind, trim(name) AS name, coalesce(parent, '') AS parent, line, end_line FROM symbols WHERE end_line >= line), p AS (SELECT DISTINCT path, line FROM s)
         SELECT path, line, selector FROM (SELECT p.path, p.line, CASE WHEN parent <> '' THEN parent || '.' || name ELSE name END AS selector, row_number() OVER (PARTITION BY p.path, p.line ORDER BY s.end_line - s.line, s.line DESC) AS rn
         FROM p JOIN s ON s.path = p.path AND s.line <= p.line AND p.line <= s.end_line WHERE kind IN ('function', 'method', 'class') AND s.line > 0) WHERE rn = 1""",

@@ -63,6 +63,18 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     return n.select(F.concat("n_name", F.lit(".html")).alias("path"), F.encode(page, "UTF-8").alias("content"))
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content): a PDF file of two pages a nation."""
+    n = _named(spark, folder)[1]
+    first = F.concat(F.lit("BT /F1 12 Tf 72 700 Td ("), "n_name", F.lit(" is \\(now\\)) Tj 0 -14 Td [(in) -300 ("), "r_name", F.lit(")] TJ ET"))
+    second = F.concat(F.lit("BT /F1 12 Tf 72 700 Td (Number "), "n_nationkey", F.lit(") Tj ET"))
+    stream = lambda no, text: F.concat(F.lit(f"{no} 0 obj\n<< /Length "), F.length(text).cast("string"), F.lit(" >>\nstream\n"), text, F.lit("\nendstream\nendobj\n"))
+    page = lambda no, at: F.lit(f"{no} 0 obj\n<< /Type /Page /Parent 2 0 R /Contents {at} 0 R /Resources << /Font << /F1 7 0 R >> >> >>\nendobj\n")
+    tree = F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [4 0 R 3 0 R] /Count 2 >>\nendobj\n")
+    whole = F.concat(tree, page(3, 5), page(4, 6), stream(5, second), stream(6, first), F.lit("7 0 obj\n<< /Type /Font /BaseFont /Helvetica >>\nendobj\n%%EOF\n"))
+    return n.select(F.concat("n_name", F.lit(".pdf")).alias("path"), F.encode(whole, "UTF-8").alias("content"))
+
+
 def sources(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text): a module for each region, nation and supplier."""
     r, n = _named(spark, folder)
@@ -130,6 +142,8 @@ ORACLE_SQL = {
         UNION ALL SELECT path, '~', kind || ' ' || name FROM symbols_ WHERE path LIKE 'geo/regions/%' AND kind = 'function'""",
     "html_to_markdown": f"""WITH {N_SQL} SELECT n_name || '.html' AS path, '# ' || n_name || ' & more' || chr(10) || chr(10) || 'in ' || r_name || ' there' || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10) || chr(10)
         || 'a | ' || n_nationkey || chr(10) || 'b | c' || chr(10) || chr(10) || '```' || chr(10) || 'x' || chr(10) || '  y' || chr(10) || '```' || chr(10) || chr(10) || '[image: map]' AS markdown, NULL::VARCHAR AS reason FROM n""",
+    "pdf_pages": f"""WITH {N_SQL} SELECT n_name || '.pdf' AS key, 1 AS page, 0 AS off, n_name || ' is (now)' || chr(10) || 'in ' || r_name AS text FROM n
+        UNION ALL SELECT n_name || '.pdf', 2, CAST(length(n_name) + length(r_name) + 15 AS INT), 'Number ' || n_nationkey FROM n""",
     "front_properties": "SELECT p_partkey::VARCHAR AS key, unnest(['name', 'tags', 'aliases', 'size']) AS name, unnest([p_name, p_brand || ', part', 'part ' || p_partkey || ', ' || p_type, p_size::VARCHAR]) AS value FROM part",
     "alias_index": "SELECT 'p' || p_partkey AS title, unnest(['part ' || p_partkey, p_type]) AS alias FROM part",
     "clean_bodies": "SELECT p_partkey::VARCHAR AS key, 'Made by ' || replace(p_brand, '#', ' ') || ' the maker of type t/' || p_partkey || ' with at end.' AS body FROM part",

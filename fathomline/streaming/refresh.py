@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from fathomline.operators.index import postings_of
+from fathomline.operators.index import upsert
 
 
 def arriving(spark: SparkSession, folder: str, schema: str, files: int = 100) -> DataFrame:
@@ -14,26 +14,19 @@ def arriving(spark: SparkSession, folder: str, schema: str, files: int = 100) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files)).parquet(folder)
 
 
-def index_stream(corpus: DataFrame, out: str, checkpoint: str, profile: str = "full") -> StreamingQuery:
-    """Append the postings of arriving documents (key, name, text, mtime), all there are, then stop.
+def index_stream(corpus: DataFrame, folder: str, checkpoint: str, profile: str = "full") -> StreamingQuery:
+    """Bring arriving documents (key, name, text, mtime), all there are, into the index of a folder, then stop.
 
-    Rows carry key and mtime; a reader takes the latest mtime of a key, so a batch that is run again changes nothing.
+    Each micro-batch is one segment and one version of the same index that refresh() keeps; a batch that is run again
+    after a failure changes nothing.
     """
     def take(batch: DataFrame, number: int) -> None:
-        rows = batch.where("text is not null")
-        made = postings_of(rows, profile).join(rows.select("key", "mtime").distinct(), "key")
-        made.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if not batch.isEmpty():
+            upsert(batch.sparkSession, folder, batch, profile=profile)
 
     return corpus.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_postings(spark: SparkSession, out: str) -> DataFrame:
-    """(key, term, tf) of the latest state of each document among the batches."""
-    rows = spark.read.parquet(out).select("key", "term", "tf", "mtime").distinct()
-    last = rows.groupBy("key").agg(F.max("mtime").alias("mtime"))
-    return rows.join(last, ["key", "mtime"]).select("key", "term", "tf")
-
-
 def windowed_activity(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(starts, event_type, n, total) of events (ts, event_type, value), batch or stream; what comes later than `late` is dropped."""
     timed = events.withWatermark("ts", late)

@@ -142,3 +142,18 @@ def test_notebook():
 
     book = json.dumps({"cells": [{"cell_type": "code", "source": ["%magic\n", "x = 1"]}, {"cell_type": "markdown", "source": "note"}]})
     assert codegraph.notebook_source(book) == "\nx = 1\n\n# note" and codegraph.notebook_source("[") == ""
+
+
+def test_neighbours_by_first_mention_and_hubs(spark):
+    files = {
+        "p/A.java": "package p;\nimport p.q.Late;\nimport p.q.Early;\nimport p.q.Never;\nclass A {\n  void run() {\n    Early e; Beside b; Late l;\n  }\n}\n",
+        **{f"p/q/{n}.java": f"package p.q;\nclass {n} {{\n}}\n" for n in ("Late", "Early", "Never")}, **{f"p/{n}.java": f"package p;\nclass {n} {{\n}}\n" for n in ("Beside", "Unused")},
+    }
+    src = spark.createDataFrame(list(files.items()), "path string, text string")
+    found = codegraph.skeletons(src)
+    edges = codegraph.import_edges(found, src)
+    pack = codegraph.code_pack(src, found, edges, codegraph.call_edges(found, edges), "p/A.java").where("section = 'neighborhood'").orderBy("n").collect()
+    assert [r["label"] for r in pack] == ["p/q/Early.java", "p/Beside.java", "p/q/Late.java", "p/q/Never.java"]
+    many = spark.range(5000).selectExpr("'importers' AS section", "CAST(id + 1 AS int) AS n", "CAST(id AS string) AS label", "CAST(id AS string) AS block")
+    kept = codegraph.budgeted(many, 100)
+    assert kept.count() == 5000 and kept.where("kept").agg({"n": "max"}).first()[0] == kept.where("kept").count() < 60

@@ -87,12 +87,12 @@ def test_documents(spark):
         z.writestr("o/a.html", "<h1>A</h1>")
         z.writestr("o/b.html", "<p>B</p>")
     fb2 = b"<FictionBook><body><section><title><p>T</p></title><p>x</p></section></body></FictionBook>"
-    rows = [("a.docx", docx.getvalue()), ("b.epub", epub.getvalue()), ("c.fb2", fb2), ("d.pdf", b"%PDF"), ("e.docx", b"junk"), ("f.fb2", b"<!DOCTYPE x><a/>"), ("g.rtf", rb"{\rtf1 Hello\par World}"), ("h.html", None)]
+    rows = [("a.docx", docx.getvalue()), ("b.epub", epub.getvalue()), ("c.fb2", fb2), ("d.pdf", b"%PDF"), ("d.doc", b"x"), ("e.docx", b"junk"), ("f.fb2", b"<!DOCTYPE x><a/>"), ("g.rtf", rb"{\rtf1 Hello\par World}"), ("h.html", None)]
     got = {r["path"]: r for r in convert.converted(spark.createDataFrame(rows, "path string, content binary")).collect()}
     assert got["a.docx"]["markdown"] == "# Head\n\nBody" and (got["a.docx"]["title"], got["a.docx"]["authors"], got["a.docx"]["date"]) == ("My title", "Me", "2024-04-02")
     assert got["b.epub"]["markdown"] == "# A\n\nB"
     assert got["c.fb2"]["markdown"].split() == ["##", "T", "x"]
-    assert got["d.pdf"]["reason"] == "no converter for .pdf" and got["e.docx"]["reason"] == "not a zip file" and "document type" in got["f.fb2"]["reason"]
+    assert got["d.pdf"]["reason"] == "no text layer" and got["d.doc"]["reason"] == "no converter for .doc" and got["e.docx"]["reason"] == "not a zip file" and "document type" in got["f.fb2"]["reason"]
     assert got["g.rtf"]["markdown"] == "Hello\n\nWorld" and got["h.html"]["reason"] == "no text in the file"
 
 
