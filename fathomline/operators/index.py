@@ -34,6 +34,12 @@ class Index:
     documents: int
     average: float
 
+    def warm(self) -> Index:
+        """The same index held in memory, read once now, for many questions; release() gives it back."""
+        held = Index(self.postings.cache(), self.lengths.cache(), self.documents, self.average)
+        held.postings.count(), held.lengths.count()
+        return held
+
     def release(self) -> None:
         """Give back what a session-only index holds in memory."""
         self.postings.unpersist()
@@ -88,10 +94,18 @@ def _manifest(spark: SparkSession, folder: str) -> dict:
             meta = json.loads(read_small(spark, f"{folder}/manifests/{name}"))
         except ValueError:  # being written, or broken: the one before counts
             continue
-        return {**meta, "newest": newest} if meta.get("tokenizer") == TOKENIZER else {"newest": newest}
+        if meta.get("tokenizer") != TOKENIZER:
+            return {"newest": newest}
+        if all(_whole(spark, f"{folder}/segments/{s}") for s in meta["segments"]):
+            return {**meta, "newest": newest}
     return {"newest": newest}
 
 
+def _whole(spark: SparkSession, place: str) -> bool:
+    """Whether a segment's tables are there; one that lost any isn't read, the version before it or a rebuild takes over."""
+    return all("_SUCCESS" in names_in(spark, f"{place}/{t}") for t in ("postings", "state"))
+
+
 def _tables(spark: SparkSession, folder: str, meta: dict, name: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [spark.read.parquet(f"{folder}/segments/{s}/{name}") for s in meta["segments"]])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fathomline.functions.text import STOP_WORDS, in_folder, line_at, stem_of, version
 from fathomline.operators import codegraph, convert, dense, evaluate, files, history, index, links, prose, reading, search
 from fathomline.plans import star
-from fathomline.session import latest, prepare, spread, table, work_dir
+from fathomline.session import latest, names_in, prepare, shared, spread, table, work_dir
 from fathomline.sources import pdf
 from fathomline.streaming import refresh
 
@@ -110,6 +110,11 @@ def function_words(spark, folder):
     return prepare(spark).createDataFrame([(w,) for w in STOP_WORDS], "word string")
 
 
+def full_tokens(spark, folder):
+    """The whole token stream, counted."""
+    return index.postings_of(star.technical(spark, folder), "full")
+
+
 def doc_freq_idf(spark, folder):
     return search.idf_table(words_index(spark, folder)).select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -291,12 +296,23 @@ def embed_units(spark, folder):
     return found.select("key", "off", F.length("unit").alias("n_chars"))
 
 
+def _codes(spark, folder):
+    """The embeddings' codes, quantised once for a state of the file and kept in the shared folder."""
+    files_, path = shared(spark, f"{folder}/embeddings.parquet")
+    status = files_.getFileStatus(path)
+    stamp = hashlib.sha1(f"{folder} {status.getModificationTime()} {status.getLen()}".encode()).hexdigest()[:12]
+    place = f"{work_dir(spark)}/fathomline-index/vectors-{stamp}"
+    if "_SUCCESS" not in names_in(spark, place):
+        e = table(spark, folder, "embeddings")
+        made = e.select(F.col("label").alias("key"), F.col("vec_id").alias("off"), dense.quantised(F.col("embedding")).alias("q")).select("key", "off", "q.codes", "q.scale")
+        dense.save(made, place, model="given")
+    return dense.load(spark, place, model="given")
+
+
 def dense_rank(spark, folder):
-    """The int8 path: scores in Arrow batches, best section of each document."""
-    e = table(prepare(spark), folder, "embeddings")
-    q = [float(x) for x in e.where("vec_id = 0").select("embedding").first()[0]]
-    v = e.select(F.col("label").alias("key"), F.col("vec_id").alias("off"), dense.quantised(F.col("embedding")).alias("q")).select("key", "off", "q.codes", "q.scale")
-    return dense.scores(v, q).groupBy("key").agg(F.round(F.max("cos"), 3).alias("cos"))
+    """The int8 path over stored codes: scores in Arrow batches, best section of each document."""
+    q = [float(x) for x in table(prepare(spark), folder, "embeddings").where("vec_id = 0").select("embedding").first()[0]]
+    return dense.scores(_codes(spark, folder), q).groupBy("key").agg(F.round(F.max("cos"), 3).alias("cos"))
 
 
 # --- files and reading ----------------------------------------------------------------------------------------------
@@ -403,6 +419,21 @@ def pdf_pages(spark, folder):
     return pdf.pages(star.documents(spark, folder)).select("key", "page", "off", "text")
 
 
+def pages_asof(spark, folder):
+    """The page on which each of some offsets of a PDF file's text lies."""
+    pages = pdf.pages(star.documents(spark, folder)).select("key", "page", "off")
+    at = pages.select("key").distinct().select("key", F.explode(F.array(*map(F.lit, (0, 5, 25, 27, 29, 40)))).alias("off"))
+    return reading.pages_of(at, pages)
+
+
+def section_by_title(spark, folder):
+    return reading.section_by_title(star.notes(spark, folder).select(F.col("path").alias("key"), "text"), " PLACE ")
+
+
+def name_search(spark, folder):
+    return links.name_search(star.notes(spark, folder), "nation_1")
+
+
 # --- graphs ---------------------------------------------------------------------------------------------------------
 
 
@@ -466,6 +497,11 @@ def fan_in(spark, folder):
     return codegraph.importers(_code(spark, folder)[2])
 
 
+def code_vocabulary(spark, folder):
+    _, found, edges = _code(spark, folder)
+    return codegraph.vocabulary(found, edges, 10)
+
+
 def call_edges(spark, folder):
     _, found, edges = _code(spark, folder)
     return codegraph.call_edges(found, edges)
@@ -528,9 +564,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokenize_words, postings, doc_freq_idf, bm25_topk, bm25_matched_terms, coverage, terms_absent, terms_absent_in_scope, exclude_paging, unseen_count, query_groups_rrf, rrf_hybrid,
-        section_split, section_bm25_pool, per_doc_cap, hit_lines, content_version, version_guard, search_hits, search_sections, search_signals, search_documents, search_code, index_build, function_words, near_terms, cosine_topk, int8_quantize, embed_units, dense_rank, files_status, hidden_paths, scope_counts,
+        section_split, section_bm25_pool, per_doc_cap, hit_lines, content_version, version_guard, search_hits, search_sections, search_signals, search_documents, search_code, index_build, full_tokens, function_words, near_terms, cosine_topk, int8_quantize, embed_units, dense_rank, files_status, hidden_paths, scope_counts,
         inventory_counts, index_changes, since_filter, folder_scope, latest_notes, read_slice_budget, outline, section_ends, context_search, language_detect, clean_tags, clean_bodies,
-        front_properties, alias_index, segments, html_to_markdown, pdf_pages, wikilink_targets, link_graph, graph_reach, unresolved_links, orphans, link_degrees, note_lint, code_symbols, code_units, import_edges, fan_in, call_edges,
+        front_properties, alias_index, segments, html_to_markdown, pdf_pages, pages_asof, section_by_title, name_search, wikilink_targets, link_graph, graph_reach, unresolved_links, orphans, link_degrees, note_lint, code_symbols, code_units, import_edges, fan_in, call_edges, code_vocabulary,
         class_hierarchy, skeleton_changes, source_skeletons, innermost_symbols, ndcg_mrr_recall, windowed_activity, user_sessions, record_drift,
     )
 }

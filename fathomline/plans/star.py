@@ -45,6 +45,14 @@ def described(spark: SparkSession, folder: str) -> DataFrame:
     return p.select(F.col("p_partkey").cast("string").alias("key"), text.alias("text"))
 
 
+def technical(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, name, text): parts in which every kind of token occurs: identifiers, versions, dates, units, paths, broken words."""
+    p = table(prepare(spark), folder, "part")
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(F.lit("part_no_"), key, F.lit(" sizeLimit v1."), size, F.lit(" 2024-05-06 "), size, F.lit("kb src/lib/p"), key, F.lit(f".py com{chr(0xFFFE)}piler Été"))
+    return p.select(key.alias("key"), F.lit("").alias("name"), text.alias("text"))
+
+
 def sectioned(spark: SparkSession, folder: str) -> DataFrame:
     """(key, text): a note a supplier: an introduction, a part with paragraphs that fill it, references."""
     s = table(prepare(spark), folder, "supplier")
@@ -144,6 +152,15 @@ ORACLE_SQL = {
         || 'a | ' || n_nationkey || chr(10) || 'b | c' || chr(10) || chr(10) || '```' || chr(10) || 'x' || chr(10) || '  y' || chr(10) || '```' || chr(10) || chr(10) || '[image: map]' AS markdown, NULL::VARCHAR AS reason FROM n""",
     "pdf_pages": f"""WITH {N_SQL} SELECT n_name || '.pdf' AS key, 1 AS page, 0 AS off, n_name || ' is (now)' || chr(10) || 'in ' || r_name AS text FROM n
         UNION ALL SELECT n_name || '.pdf', 2, CAST(length(n_name) + length(r_name) + 15 AS INT), 'Number ' || n_nationkey FROM n""",
+    "full_tokens": f"""WITH p AS (SELECT p_partkey::VARCHAR AS key, p_size::VARCHAR AS size FROM part),
+        t AS (SELECT key, unnest(['v1.' || size, '2024-05-06', size || 'kb', 'src/lib/p' || key || '.py', 'compiler', 'part_no_' || key, 'size', 'limit', 'part', key, 'sizelimit', 'v1', size, '2024', '05', '06', size || 'kb', 'src', 'lib', 'p' || key, 'py', 'com', 'piler', 'ete']) AS term FROM p)
+        SELECT key, term, count(*) AS tf FROM t WHERE length(term) >= 2 GROUP BY key, term""",
+    "section_by_title": f"WITH {N_SQL} SELECT 'nations/' || n_name || '.md' AS key, 'Place' AS title, 3 AS line, '## Place' || chr(10) || chr(10) || 'It lies in [[' || r_name || '|this region]].' || chr(10) AS section, CAST(1 AS BIGINT) AS matches FROM n",
+    "name_search": "SELECT 'nations/' || n_name || '.md' AS path FROM nation WHERE contains(n_name, 'NATION_1')",
+    "code_vocabulary": f"""WITH {FILES_SQL}, f AS (SELECT value AS path, count(DISTINCT src) AS fan_in FROM imports_ GROUP BY value ORDER BY 2 DESC, 1 LIMIT 10)
+        SELECT DISTINCT f.path, fan_in, name FROM f JOIN symbols_ s ON s.path = f.path""",
+    "pages_asof": f"""WITH {N_SQL}, w AS (SELECT n_name || '.pdf' AS key, length(n_name) + length(r_name) + 15 AS second FROM n)
+        SELECT key, off, CAST(CASE WHEN off >= second THEN 2 ELSE 1 END AS INT) AS page FROM w, (SELECT CAST(unnest([0, 5, 25, 27, 29, 40]) AS INT) AS off)""",
     "front_properties": "SELECT p_partkey::VARCHAR AS key, unnest(['name', 'tags', 'aliases', 'size']) AS name, unnest([p_name, p_brand || ', part', 'part ' || p_partkey || ', ' || p_type, p_size::VARCHAR]) AS value FROM part",
     "alias_index": "SELECT 'p' || p_partkey AS title, unnest(['part ' || p_partkey, p_type]) AS alias FROM part",
     "clean_bodies": "SELECT p_partkey::VARCHAR AS key, 'Made by ' || replace(p_brand, '#', ' ') || ' the maker of type t/' || p_partkey || ' with at end.' AS body FROM part",

@@ -86,6 +86,23 @@ def test_refresh_writes_what_changed_and_merges(spark, tmp_path):
     assert (built.documents, built.average) == (want.documents, pytest.approx(want.average))
 
 
+def test_a_damaged_segment_is_not_read(spark, tmp_path):
+    import shutil
+
+    folder = f"file://{tmp_path}/index"
+    one = spark.createDataFrame([("a", "a", "alpha", 1.0)], SCHEMA)
+    two = spark.createDataFrame([("a", "a", "alpha", 1.0), ("b", "b", "beta", 1.0)], SCHEMA)
+    index.refresh(spark, folder, one)
+    index.refresh(spark, folder, two)
+    newest = sorted((tmp_path / "index" / "segments").iterdir())[-1]
+    shutil.rmtree(newest / "postings")
+    assert index.load(spark, folder).documents == 1  # the version before
+    assert index.refresh(spark, folder, two)["docs"] == 2 and index.load(spark, folder).postings.count() > 1
+    held = index.load(spark, folder).warm()
+    assert held.postings.is_cached and held.postings.count() == index.load(spark, folder).postings.count()
+    held.release()
+
+
 def test_work_folder_only_off_a_cluster(monkeypatch):
     class Conf:
         def __init__(self, **values):
