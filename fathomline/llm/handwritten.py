@@ -170,26 +170,30 @@ def _read(bands: int, rows: int):
                 out.append((
                     path, lang, list(found), list(found.values()), len(code), diversity(code), min(kinds, default=1.0), min(1.0, held / max(1, size)), bool(GENERATED.search(top)),
                     bool(PACKAGES.search(path) or UPSTREAM.search(top)), styles["snake"], styles["camel"], styles["capital"],
-                    xxhash.xxh64_intdigest("\x1f".join(words[-1])) - 2**63 if words[-1] else None,
+                    xxhash.xxh64_intdigest("\x1f".join(words[-1])) - 2**63 if words[-1] else 0,
                 ))
-            made = pd.DataFrame(out, columns=[c.split()[0] for c in READ.split(", ")][:-1]).astype({"copy": "Int64"})
+            made = pd.DataFrame(out, columns=[c.split()[0] for c in READ.split(", ")][:-1])  # copy is 0 for none: a null would turn the ids into floats
             yield made.assign(bands=band_keys(words, bands, rows))
 
     return run
 
 
+MEASURED = READ.replace("name array<string>, times array<int>", "bits double, names int, length double")
+
+
 def _costs(counts: dict[str, dict[str, int]]):
-    """Mean bits a character and mean length of each file's names, occurrences counted."""
+    """Each file's row with the mean bits a character and mean length of its names, occurrences counted, in their place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = {lang: Model(c) for lang, c in counts.items()}
         for b in batches:
             out = []
-            for path, lang, name, times in zip(b["path"], b["lang"], b["name"], b["times"], strict=True):
+            for lang, name, times in zip(b["lang"], b["name"], b["times"], strict=True):
                 n = int(sum(times))
                 bits = sum(models[lang].bits(x) * t for x, t in zip(name, times, strict=True)) / n if n else 0.0
-                out.append((path, bits, n, sum(len(x) * t for x, t in zip(name, times, strict=True)) / n if n else 0.0))
-            yield pd.DataFrame(out, columns=["path", "bits", "names", "length"])
+                out.append((bits, n, sum(len(x) * t for x, t in zip(name, times, strict=True)) / n if n else 0.0))
+            made = pd.DataFrame(out, columns=["bits", "names", "length"], index=b.index)
+            yield pd.concat([b.drop(columns=["name", "times"]), made], axis=1)[[c.split()[0] for c in MEASURED.split(", ")]]
 
     return run
 
@@ -254,12 +258,11 @@ def not_handwritten(
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, g, n in counted.toPandas().itertuples(index=False):  # at most 40 ** 3 a language
         counts[lang][g] = n
-    costs = stash(read.select("path", "lang", "name", "times").mapInPandas(_costs(dict(counts)), "path string, bits double, names int, length double"), "code-costs")
-    features = read.drop("name", "times", "bands").join(costs, "path")
+    features = stash(read.mapInPandas(_costs(dict(counts)), MEASURED), "code-features")
     usual = features.where("names >= 8").groupBy("lang").agg(F.percentile_approx("bits", 0.5).alias("usual"))
-    house = read.groupBy("lang").agg(*[F.sum(c).alias(f"all_{c}") for c in STYLES])
+    house = features.groupBy("lang").agg(*[F.sum(c).alias(f"all_{c}") for c in STYLES])
     judged = features.join(F.broadcast(usual), "lang", "left").join(F.broadcast(house), "lang").select(  # a row a language
-        "path", "copy", "package", foreign(style_names, style_share, style_usual).alias("foreign"),
+        "path", "copy", "bands", "package", foreign(style_names, style_share, style_usual).alias("foreign"),
         (F.col("notice") | ((F.col("lines") >= template_lines) & (F.col("shapes") <= template)) | (F.col("declared") <= template_names)).alias("generated"),
         ((F.col("bits") > F.col("usual") + excess_bits) & (F.col("length") <= mangled_length) & (F.col("names") >= 8)).alias("minified"),
         ((F.col("literal") >= data_share) | ((F.col("lines") >= template_lines) & (F.col("shapes") <= template) & (F.col("literal") >= data_share / 3))).alias("data"),
@@ -269,8 +272,7 @@ def not_handwritten(
 
     # copies of third-party files: exact ones share their shingles' hash and are one group; similar groups are met in
     # minhash bands, where only ids travel, and their files are read again for the exact similarity
-    own = judged.select("path", "package").join(read.where("copy is not null").select("path", "copy", "bands"), "path")
-    code = own.groupBy("copy").agg(F.max("package").alias("package"), F.min("path").alias("path"), F.first("bands").alias("bands"))
+    code = judged.where("copy <> 0").groupBy("copy").agg(F.max("package").alias("package"), F.min("path").alias("path"), F.first("bands").alias("bands"))
     groups = stash(code, "code-copies")
     seeds = groups.where("package").select(F.explode("bands").alias("band"), F.col("copy").alias("seed"))
     others = groups.where("not package").select(F.explode("bands").alias("band"), "copy")
